@@ -47,13 +47,27 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join does not support {how!r}")
     limit = broadcast_limit(left)
-    if estimated_bytes(right) <= limit or (how == "inner" and estimated_bytes(left) <= limit):
+    if estimated_bytes(right) <= limit:
         return left.join(right, on, how)
     if limit > 0 and measured_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
     return _split_join(left, right, on, how)
 
 
+def pick_rows(keys: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """Attach to every asked key its row of a large table.
+
+    Few keys are broadcast to the table's scan, so only the rows asked for are
+    shuffled; otherwise both sides are, with frequent keys cut into pieces.
+    """
+    limit = broadcast_limit(table)
+    if estimated_bytes(table) <= limit:
+        return keys.join(table, on, how)
+    if estimated_bytes(keys) <= limit:
+        return keys.join(table.join(keys.select(on), on, "left_semi"), on, how)
+    return _split_join(keys, table, on, how)
+
+
 def _split_join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
     spark = left.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

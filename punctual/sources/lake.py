@@ -67,12 +67,16 @@ def publish_silver(views: dict[str, DataFrame]) -> None:
         frame.createOrReplaceTempView(name)
 
 
+def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{where}")
+
+
 def write_gold(
     df: DataFrame, name: str, database: str = "gold", partition_by: tuple[str, ...] = ()
 ) -> None:
     """Materialise one Gold table."""
-    spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    create_database(df.sparkSession, database)
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
