@@ -61,14 +61,6 @@ def describe_features(matrix: DataFrame) -> DataFrame:
     """
     values = long_features(matrix).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = totals_before(values, "feature", "value", ["n"])
-    size = long_features(matrix).groupBy("feature").agg(
-        F.count("value").alias("n_rows"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("stddev"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    placed = ranked.join(F.broadcast(size.select("feature", "n_rows")), "feature")
 
     def at(position: Column) -> Column:
         inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
@@ -77,9 +69,17 @@ def describe_features(matrix: DataFrame) -> DataFrame:
     shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     picks = []
     for name, part in shares.items():
-        where = (F.col("n_rows") - 1) * F.lit(part)
+        where = (F.col("n_total") - 1) * F.lit(part)
         picks += [at(F.floor(where)).alias(f"{name}_low"), at(F.ceil(where)).alias(f"{name}_high")]
-    picked = placed.groupBy("feature").agg(*picks)
+    picked = ranked.groupBy("feature").agg(*picks)
+    # Moments in one pass over the rows as they are, one row per feature.
+    size = long_features(matrix).groupBy("feature").agg(
+        F.count("value").alias("n_rows"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("stddev"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
     quartiles = []
     for name, part in shares.items():
         where = (F.col("n_rows") - 1) * F.lit(part)

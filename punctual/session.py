@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does the runtime part of the work: it merges small shuffle
 # partitions, splits skewed ones and turns a sort-merge join into a broadcast
@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Building a plan without a stack trace per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _local_folders: dict[str, str] = {}
@@ -53,3 +55,15 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and read them back.
+
+    For an intermediate result that several branches of one job read: it is
+    computed once, and outlives the executors that made it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,13 +7,41 @@ orders are made from their own columns, so no sort or shuffle is needed for them
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.functions.joins import lookup_join
+from punctual.functions.joins import estimated_bytes, lookup_join
+
+# Given, so that no file is opened before the query runs.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+SPREAD_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a part of a table whose few files would keep only some busy.
+
+    Tables with at least one split per core, as all large ones, are left alone.
+    """
+    pieces = min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(estimated_bytes(df) / SPREAD_BYTES))
+    return df.repartition(pieces, key) if df.rdd.getNumPartitions() < pieces else df
 
 
 def _site(key: Column) -> Column:
@@ -56,7 +84,8 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_custkey").alias("o_custkey"), "c_nationkey"
     )
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    lines = lookup_join(table(spark, folder, "lineitem"), headers, "l_orderkey", "inner")
+    lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    lines = lookup_join(lines, headers, "l_orderkey", "inner")
     lines = lookup_join(lookup_join(lines, customers, "o_custkey"), parts, "l_partkey")
     ordered = F.col("o_orderdate").cast("date")
     quantity = F.col("l_quantity")
