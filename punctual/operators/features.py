@@ -72,14 +72,15 @@ def describe_features(matrix: DataFrame) -> DataFrame:
         where = (F.col("n_total") - 1) * F.lit(part)
         picks += [at(F.floor(where)).alias(f"{name}_low"), at(F.ceil(where)).alias(f"{name}_high")]
     picked = ranked.groupBy("feature").agg(*picks)
-    # Moments in one pass over the rows as they are, one row per feature.
-    size = long_features(matrix).groupBy("feature").agg(
-        F.count("value").alias("n_rows"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("stddev"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    # Moments of all features in one pass over the rows as they are.
+    numbers = {"n_rows": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = matrix.agg(*[
+        F.struct(F.lit(f).alias("feature"), *[
+            measure(F.col(f).cast("double")).alias(name) for name, measure in numbers.items()
+        ]).alias(f)
+        for f in FEATURES
+    ])
+    size = wide.select(F.inline(F.array(*FEATURES)))
     quartiles = []
     for name, part in shares.items():
         where = (F.col("n_rows") - 1) * F.lit(part)

@@ -1,6 +1,7 @@
 """Registered queries: every operator over the whole sample tables.
 
-Queries whose result a model decides have a twin on a fixed scorer, so that
+Silver and Gold queries start from the raw tables. What comes after Gold reads the
+stored marts, as it would in use. Queries whose result a model decides have a twin on a fixed scorer, so that
 everything around the model can be compared with SQL.
 """
 
@@ -67,9 +68,31 @@ def kpi(spark, folder):
     return kpis.supplier_kpi(mart(spark, folder), staged(spark, folder, "quality_incidents"))
 
 
+@cache
+def _gold(spark: SparkSession, folder: str) -> str:
+    """Database with the Gold tables, built once per session."""
+    location = scratch_path(spark, "gold")
+    database = "gold_" + location.rsplit("-", 1)[-1][:12]
+    views = {f"stg_{name}": staged(spark, folder, name) for name in BRONZE}
+    batch.build_gold(spark, views, database, location)
+    return database
+
+
+def gold_mart(spark, folder):
+    return batch.read_orders(spark, _gold(spark, folder))
+
+
+def gold_kpi(spark, folder):
+    return lake.read_gold(spark, "marts_supplier_kpi", _gold(spark, folder))
+
+
+def gold_summary(spark, folder):
+    return lake.read_gold(spark, "marts_otif_summary", _gold(spark, folder))
+
+
 def asked_orders(spark, folder):
-    """Ids to look up: the orders of lines returned as accepted, and one unknown id per error event."""
-    lines = sample.purchase_orders(spark, folder).filter("received_qty = ordered_qty").select("po_id")
+    """Ids to look up: the orders received in full, and one unknown id per error event."""
+    lines = gold_mart(spark, folder).filter("received_qty = ordered_qty").select("po_id")
     errors = sample.table(spark, folder, "events").filter("event_type = 'error'")
     return lines.unionByName(
         errors.select(F.concat(F.lit("PO-UNKNOWN-"), F.col("event_id").cast("string")).alias("po_id"))
@@ -78,7 +101,7 @@ def asked_orders(spark, folder):
 
 def scenarios(spark, folder):
     """One scenario per order, and one for an unknown order per error event."""
-    known = sample.purchase_orders(spark, folder)
+    known = gold_mart(spark, folder)
     quantity, part = F.col("ordered_qty").cast("bigint"), F.col("part_id").cast("bigint")
     changed = known.select(
         F.concat(F.lit("S"), "po_id").alias("scenario_id"),
@@ -99,7 +122,7 @@ def scenarios(spark, folder):
 
 
 def matrix(spark, folder):
-    return features.feature_matrix(features.build_features(mart(spark, folder)), "po_id")
+    return features.feature_matrix(features.build_features(gold_mart(spark, folder)), "po_id")
 
 
 @cache
@@ -140,12 +163,8 @@ def bronze_roundtrip(spark, folder):
 
 @register
 def marts_otif_kpi(spark, folder):
-    """The stored order mart read back: Bronze to Gold tables."""
-    location = scratch_path(spark, "gold")
-    database = "gold_" + location.rsplit("-", 1)[-1][:12]
-    views = {f"stg_{name}": staged(spark, folder, name) for name in BRONZE}
-    batch.build_gold(spark, views, database, location)
-    return batch.read_orders(spark, database)
+    """The stored order mart read back."""
+    return gold_mart(spark, folder)
 
 
 @register
@@ -166,7 +185,7 @@ def rag_log_stats(spark, folder):
 def drift_report_roundtrip(spark, folder):
     """The mean-shift report written as JSON and read back."""
     path = scratch_path(spark, "report")
-    reports.write_report(drift.mean_shift_report(drift.populations(mart(spark, folder))), path)
+    reports.write_report(drift.mean_shift_report(drift.populations(gold_mart(spark, folder))), path)
     return reports.load_drift_report(spark, path).select(
         "drift_detected", "drift_share", "status", "details.reference_rows", "details.current_rows",
         F.array_join("details.drifted_features", ",").alias("drifted_features"),
@@ -274,7 +293,7 @@ def global_kpi(spark, folder):
 @register
 def order_lookup(spark, folder):
     """Mart rows of the asked ids."""
-    return pick_rows(asked_orders(spark, folder), mart(spark, folder), "po_id", "inner").select(
+    return pick_rows(asked_orders(spark, folder), gold_mart(spark, folder), "po_id", "inner").select(
         "po_id", "supplier_id", "part_id", "total_order_cost", "otif_score"
     )
 
@@ -283,47 +302,47 @@ def order_lookup(spark, folder):
 
 @register
 def worst_suppliers(spark, folder):
-    return ranking.worst_suppliers(kpis.otif_by(mart(spark, folder), "supplier"))
+    return ranking.worst_suppliers(gold_summary(spark, folder))
 
 
 @register
 def worst_suppliers_detail(spark, folder):
-    return ranking.worst_suppliers_detail(kpi(spark, folder))
+    return ranking.worst_suppliers_detail(gold_kpi(spark, folder))
 
 
 @register
 def supplier_ranking(spark, folder):
-    return ranking.supplier_ranking(kpi(spark, folder))
+    return ranking.supplier_ranking(gold_kpi(spark, folder))
 
 
 @register
 def weakest_suppliers(spark, folder):
-    return ranking.weakest_table(kpi(spark, folder))
+    return ranking.weakest_table(gold_kpi(spark, folder))
 
 
 @register
 def worst_by_kpi(spark, folder):
-    return ranking.worst_by_kpi(kpi(spark, folder), retrieval.TOP_K).select("supplier_id", "otif_rate")
+    return ranking.worst_by_kpi(gold_kpi(spark, folder), retrieval.TOP_K).select("supplier_id", "otif_rate")
 
 
 @register
 def criticality_listing(spark, folder):
-    return ranking.segment_listing(kpis.otif_summary(mart(spark, folder)), "criticality_class")
+    return ranking.segment_listing(gold_summary(spark, folder), "criticality_class")
 
 
 @register
 def part_family_listing(spark, folder):
-    return ranking.segment_listing(kpis.otif_summary(mart(spark, folder)), "part_family")
+    return ranking.segment_listing(gold_summary(spark, folder), "part_family")
 
 
 @register
 def last_orders(spark, folder):
-    return ranking.last_orders(mart(spark, folder)).select("po_id", "supplier_id", "ordered_qty")
+    return ranking.last_orders(gold_mart(spark, folder)).select("po_id", "supplier_id", "ordered_qty")
 
 
 @register
 def supplier_diagnostic(spark, folder):
-    return ranking.supplier_diagnostic(kpi(spark, folder)).select("supplier_id", "otif_rate", "trend")
+    return ranking.supplier_diagnostic(gold_kpi(spark, folder)).select("supplier_id", "otif_rate", "trend")
 
 
 # --- data tests -----------------------------------------------------------------
@@ -331,19 +350,19 @@ def supplier_diagnostic(spark, folder):
 @register
 def dq_unique(spark, folder):
     """Parts ordered more than once."""
-    return quality.not_unique(mart(spark, folder), "part_id")
+    return quality.not_unique(gold_mart(spark, folder), "part_id")
 
 
 @register
 def dq_not_null(spark, folder):
     """Orders without a receipt date."""
-    return quality.nulls(mart(spark, folder), "receipt_date").select("po_id", "supplier_id")
+    return quality.nulls(gold_mart(spark, folder), "receipt_date").select("po_id", "supplier_id")
 
 
 @register
 def dq_relationships(spark, folder):
     return quality.orphans(
-        mart(spark, folder), "part_id", staged(spark, folder, "parts_master"), "part_id"
+        gold_mart(spark, folder), "part_id", staged(spark, folder, "parts_master"), "part_id"
     )
 
 
@@ -356,18 +375,18 @@ def dq_in_set(spark, folder):
 
 @register
 def dq_between(spark, folder):
-    return quality.not_between(mart(spark, folder), "delay_days", -365, 365).select("po_id", "delay_days")
+    return quality.not_between(gold_mart(spark, folder), "delay_days", -365, 365).select("po_id", "delay_days")
 
 
 @register
 def dq_score_in_range(spark, folder):
-    return quality.otif_score_out_of_range(mart(spark, folder))
+    return quality.otif_score_out_of_range(gold_mart(spark, folder))
 
 
 @register
 def dq_checks(spark, folder):
     return quality.run_checks(
-        mart(spark, folder), kpi(spark, folder),
+        gold_mart(spark, folder), gold_kpi(spark, folder),
         staged(spark, folder, "purchase_orders"), staged(spark, folder, "parts_master"),
     )
 
@@ -384,7 +403,7 @@ def category_codes(spark, folder):
 
 @register
 def build_features(spark, folder):
-    return features.build_features(mart(spark, folder), require_target=False).select("po_id", *FEATURES, "otif_score")
+    return features.build_features(gold_mart(spark, folder), require_target=False).select("po_id", *FEATURES, "otif_score")
 
 
 @register
@@ -450,19 +469,19 @@ def classification_report(spark, folder):
 
 @register
 def predict_batch(spark, folder):
-    return scoring.predict_batch(mart(spark, folder), fixed_scorer)
+    return scoring.predict_batch(gold_mart(spark, folder), fixed_scorer)
 
 
 @register
 def predict_orders(spark, folder):
-    return scoring.predict_orders(asked_orders(spark, folder), mart(spark, folder), fixed_scorer)
+    return scoring.predict_orders(asked_orders(spark, folder), gold_mart(spark, folder), fixed_scorer)
 
 
 @register
 def explain_orders(spark, folder):
     """The first contribution stands for the list, which local_contributions covers."""
     explained = explain.explain_orders(
-        asked_orders(spark, folder), mart(spark, folder), fixed_scorer, WEIGHTS
+        asked_orders(spark, folder), gold_mart(spark, folder), fixed_scorer, WEIGHTS
     )
     return explained.select(
         "po_id", "risk_score", "risk_level", "otif_proba", "summary", "error",
@@ -476,18 +495,18 @@ def explain_orders(spark, folder):
 @register
 def local_contributions(spark, folder):
     return explain.local_contributions(
-        features.build_features(mart(spark, folder), require_target=False), WEIGHTS
+        features.build_features(gold_mart(spark, folder), require_target=False), WEIGHTS
     )
 
 
 @register
 def what_if(spark, folder):
-    return whatif.what_if(mart(spark, folder), scenarios(spark, folder), fixed_scorer)
+    return whatif.what_if(gold_mart(spark, folder), scenarios(spark, folder), fixed_scorer)
 
 
 @register
 def rejected_scenarios(spark, folder):
-    return whatif.rejected_scenarios(mart(spark, folder), scenarios(spark, folder))
+    return whatif.rejected_scenarios(gold_mart(spark, folder), scenarios(spark, folder))
 
 
 @register
@@ -510,13 +529,13 @@ def model_importance(spark, folder):
 
 @register
 def model_predict_batch(spark, folder):
-    return scoring.predict_batch(mart(spark, folder), model_scorer(spark, folder))
+    return scoring.predict_batch(gold_mart(spark, folder), model_scorer(spark, folder))
 
 
 @register
 def model_predict_orders(spark, folder):
     return scoring.predict_orders(
-        asked_orders(spark, folder), mart(spark, folder), model_scorer(spark, folder)
+        asked_orders(spark, folder), gold_mart(spark, folder), model_scorer(spark, folder)
     )
 
 
@@ -524,21 +543,21 @@ def model_predict_orders(spark, folder):
 def model_explain_orders(spark, folder):
     fitted = model(spark, folder)
     return explain.explain_orders(
-        asked_orders(spark, folder), mart(spark, folder),
+        asked_orders(spark, folder), gold_mart(spark, folder),
         scoring.model_scorer(fitted), training.importances(fitted),
     )
 
 
 @register
 def model_what_if(spark, folder):
-    return whatif.what_if(mart(spark, folder), scenarios(spark, folder), model_scorer(spark, folder))
+    return whatif.what_if(gold_mart(spark, folder), scenarios(spark, folder), model_scorer(spark, folder))
 
 
 # --- drift --------------------------------------------------------------------------
 
 @register
 def population_means(spark, folder):
-    means = drift.population_means(drift.populations(mart(spark, folder)))
+    means = drift.population_means(drift.populations(gold_mart(spark, folder)))
     return means.select(
         "feature", half_up(F.col("ref_mean"), 3).alias("ref_mean"), half_up(F.col("cur_mean"), 3).alias("cur_mean")
     )
@@ -546,21 +565,21 @@ def population_means(spark, folder):
 
 @register
 def drift_mean_shift(spark, folder):
-    return drift.mean_shift(drift.populations(mart(spark, folder))).select(
+    return drift.mean_shift(drift.populations(gold_mart(spark, folder))).select(
         "feature", half_up(F.col("shift"), 6).alias("shift"), "drifted"
     )
 
 
 @register
 def drift_ks(spark, folder):
-    return drift.ks_distance(drift.populations(mart(spark, folder))).select(
+    return drift.ks_distance(drift.populations(gold_mart(spark, folder))).select(
         "feature", half_up(F.col("distance"), 9).alias("distance"), "drifted"
     )
 
 
 @register
 def drift_ks_report(spark, folder):
-    return drift.ks_report(drift.populations(mart(spark, folder))).select(
+    return drift.ks_report(drift.populations(gold_mart(spark, folder))).select(
         "drift_detected", "drift_share", "status", "details.reference_rows", "details.current_rows"
     )
 
@@ -569,7 +588,7 @@ def drift_ks_report(spark, folder):
 
 @register
 def supplier_documents(spark, folder):
-    return documents.supplier_documents(kpi(spark, folder)).select(
+    return documents.supplier_documents(gold_kpi(spark, folder)).select(
         "id", "text", "metadata.risk_class", "metadata.otif_rate", "metadata.total_orders"
     )
 
@@ -592,7 +611,7 @@ def route_questions(spark, folder):
 
 @register
 def fallback_documents(spark, folder):
-    found = retrieval.fallback_documents(sample.questions(spark, folder), kpi(spark, folder))
+    found = retrieval.fallback_documents(sample.questions(spark, folder), gold_kpi(spark, folder))
     return found.select("question_id", "supplier_id", F.array_join("docs", "\n").alias("docs"))
 
 
@@ -600,7 +619,7 @@ def fallback_documents(spark, folder):
 def retrieve_by_id(spark, folder):
     """The document of every supplier named in a question."""
     asked = answers.route_questions(sample.questions(spark, folder)).filter("supplier_id is not null")
-    figures = kpi(spark, folder)
+    figures = gold_kpi(spark, folder)
     return retrieval.retrieve_by_id(
         asked.select("supplier_id").distinct(), documents.supplier_documents(figures), figures
     )
@@ -609,15 +628,15 @@ def retrieve_by_id(spark, folder):
 @register
 def answer_questions(spark, folder):
     return answers.answer_questions(
-        sample.questions(spark, folder), mart(spark, folder), kpi(spark, folder)
+        sample.questions(spark, folder), gold_mart(spark, folder), gold_kpi(spark, folder)
     )
 
 
 @register
 def risk_prompts(spark, folder):
     """A prompt for every order with its supplier's document."""
-    figures = kpi(spark, folder)
-    scored = scoring.predict_batch(mart(spark, folder), fixed_scorer)
+    figures = gold_kpi(spark, folder)
+    scored = scoring.predict_batch(gold_mart(spark, folder), fixed_scorer)
     texts = documents.supplier_documents(figures).select(
         F.col("id").alias("supplier_id"), F.array("text").alias("docs")
     )
@@ -627,13 +646,13 @@ def risk_prompts(spark, folder):
 @register
 def chat_prompts(spark, folder):
     asked = sample.questions(spark, folder)
-    contexts = retrieval.fallback_documents(asked, kpi(spark, folder)).select("question_id", "docs")
+    contexts = retrieval.fallback_documents(asked, gold_kpi(spark, folder)).select("question_id", "docs")
     return answers.chat_prompts(asked.join(contexts, "question_id"))
 
 
 @register
 def retrieval_evaluation(spark, folder):
-    found = retrieval.fallback_documents(sample.questions(spark, folder), kpi(spark, folder), 3)
+    found = retrieval.fallback_documents(sample.questions(spark, folder), gold_kpi(spark, folder), 3)
     return retrieval.retrieval_success(retrieval.retrieval_samples(found))
 
 
@@ -647,7 +666,7 @@ def embed_documents(spark, folder):
 @register
 def retrieve_supplier_documents(spark, folder):
     """The nearest supplier documents of every conversation turn."""
-    suppliers = documents.supplier_documents(kpi(spark, folder)).select(F.col("id").alias("doc_id"), "text")
+    suppliers = documents.supplier_documents(gold_kpi(spark, folder)).select(F.col("id").alias("doc_id"), "text")
     asked = sample.table(spark, folder, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text"
     )
@@ -703,12 +722,9 @@ def model_score_stream(spark, folder):
 @register
 def pipeline_health(spark, folder):
     """Health over stored marts, a drift report and a log, all made from the tables."""
-    location = scratch_path(spark, "gold")
-    database = "gold_" + location.rsplit("-", 1)[-1][:12]
-    views = {f"stg_{name}": staged(spark, folder, name) for name in BRONZE}
-    batch.build_gold(spark, views, database, location)
+    database, location = _gold(spark, folder), scratch_path(spark, "health")
     report = f"{location}/drift"
-    reports.write_report(drift.mean_shift_report(drift.populations(batch.read_orders(spark, database))), report)
+    reports.write_report(drift.mean_shift_report(drift.populations(gold_mart(spark, folder))), report)
     checks = health.health_checks(
         spark, [f"{database}.marts_otif_kpi", f"{database}.marts_supplier_kpi"],
         {"drift_report": report, "model": f"{location}/absent"},
