@@ -43,6 +43,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
     not shuffled and skew cannot arise. Beyond the threshold the join is
     shuffled; a key of the left side that would fill more than two shuffle
     partitions is cut into pieces and its right rows are repeated per piece.
+    A stream's left side is one micro-batch, whose size the reader bounds.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join does not support {how!r}")
@@ -51,6 +52,8 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
         return left.join(right, on, how)
     if limit > 0 and measured_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
+    if left.isStreaming:
+        return left.join(right, on, how)
     return _split_join(left, right, on, how)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from punctual.functions.running import bucket_count, totals_before
+from punctual.functions.running import totals_before
 from punctual.functions.scalars import category_code
 from punctual.schemas import AFTER_DELIVERY, CATEGORIES, FEATURES, SEED, TARGET, TEST_SHARE
 
@@ -93,6 +93,11 @@ def describe_features(matrix: DataFrame) -> DataFrame:
 
 # --- split ------------------------------------------------------------------
 
+# Hash ranges of the exact split: 65,536, so the numbered range is a small part
+# of any table.
+SPLIT_BITS = 16
+
+
 def _shuffled(key: str) -> Column:
     return F.xxhash64(F.col(key), F.lit(SEED))
 
@@ -109,32 +114,30 @@ def split(df: DataFrame, key: str = "po_id", test_share: float = TEST_SHARE) ->
 def split_exact(
     df: DataFrame, label: str = "label", key: str = "po_id", test_share: float = TEST_SHARE
 ) -> DataFrame:
-    """Add is_test so that each class gives exactly round(share x its rows) test rows.
+    """Add is_test so that each class gives exactly round(share x its rows) test rows;
+    the share lies below 1.
 
-    Rows are ordered by hash within their class. Hash ranges that lie wholly on
-    one side of the cut need only their counts; rows are numbered only in the one
-    range per class the cut falls into. ``key`` must be unique.
+    Rows are ordered by hash within their class. The hash ranges that lie wholly
+    on one side of the cut need only their counts; rows are numbered only in the
+    one range per class the cut falls into. ``key`` must be unique.
     """
-    bits = bucket_count(df).bit_length()
     # The top bits of the hash number its range.
     placed = df.withColumn("__hash", _shuffled(key)).withColumn(
-        "__range", F.shiftrightunsigned("__hash", 64 - bits)
+        "__range", F.shiftrightunsigned("__hash", 64 - SPLIT_BITS)
     )
     counts = placed.groupBy(label, "__range").agg(F.count(F.lit(1)).alias("__n"))
     of_class = Window.partitionBy(label)
     before = of_class.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most classes x ranges rows.
+    # At most 2^bits rows per class, of which the one with the cut is kept.
     cut = counts.select(
-        label, "__range", "__n",
+        label, F.col("__range").alias("__cut"), "__n",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.round(F.sum("__n").over(of_class) * F.lit(float(test_share))).cast("bigint").alias("__want"),
-    )
-    placed = placed.join(F.broadcast(cut), [label, "__range"])
-    whole = (F.col("__before") + F.col("__n") <= F.col("__want"))
-    none = F.col("__before") >= F.col("__want")
+    ).filter("__before <= __want and __want < __before + __n").drop("__n")
+    placed = placed.join(F.broadcast(cut), label)
     order = Window.partitionBy(label, "__range").orderBy("__hash", key)
-    decided = placed.filter(whole | none).withColumn("is_test", whole)
-    at_cut = placed.filter(~(whole | none)).withColumn(
+    decided = placed.filter("__range <> __cut").withColumn("is_test", F.col("__range") < F.col("__cut"))
+    at_cut = placed.filter("__range = __cut").withColumn(
         "is_test", F.col("__before") + F.row_number().over(order) <= F.col("__want")
     )
     return decided.unionByName(at_cut).select(*df.columns, "is_test")

@@ -43,6 +43,11 @@ def delivered_only(mart: DataFrame) -> DataFrame:
     return mart.filter(F.col("is_delivered") & F.col("is_otif").isNotNull())
 
 
+def orders_by_id(mart: DataFrame, *po_ids: str) -> DataFrame:
+    """Mart rows of a few given ids, filtered at the scan."""
+    return mart.filter(F.col("po_id").isin(*po_ids))
+
+
 def _segment_measures() -> list:
     orders = F.count(F.lit(1))
     hits = F.count_if("is_otif")

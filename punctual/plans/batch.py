@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.operators import drift, documents, kpis, quality, silver, training
-from punctual.operators.features import build_features, feature_matrix
+from punctual.operators import (
+    documents, drift, health, kpis, metrics, quality, scoring, silver, training,
+)
+from punctual.operators.features import build_features, feature_matrix, split
 from punctual.schemas import BRONZE, OTIF_COLUMNS
+from punctual.session import stored
 from punctual.sources import lake, reports
 from punctual.sources.raw import load_bronze
 
@@ -26,6 +29,7 @@ class Result:
     checks: DataFrame
     metrics: DataFrame | None = None
     drift: DataFrame | None = None
+    health: DataFrame | None = None
 
 
 def stage(spark: SparkSession, bronze_folder: str) -> dict[str, DataFrame]:
@@ -60,32 +64,62 @@ def read_orders(spark: SparkSession, database: str = "gold") -> DataFrame:
     return lake.read_gold(spark, "marts_otif_kpi", database).select(OTIF_COLUMNS)
 
 
+def build_index(spark: SparkSession, database: str, embedder_path: str) -> None:
+    """Supplier texts and their vectors as Gold tables, and the embedder for questions."""
+    kpi = lake.read_gold(spark, "marts_supplier_kpi", database)
+    lake.write_gold(documents.supplier_documents(kpi), "supplier_documents", database)
+    texts = lake.read_gold(spark, "supplier_documents", database).select("id", "text")
+    embedder = documents.fit_embedder(texts)
+    embedder.write().overwrite().save(embedder_path)
+    lake.write_gold(documents.embed(texts, embedder), "supplier_vectors", database)
+
+
+def train_and_evaluate(spark: SparkSession, mart: DataFrame, lake_folder: str, **trees) -> DataFrame:
+    """Train on one part of the delivered orders, report on the other; returns the metrics."""
+    model_path, folder = f"{lake_folder}/model", f"{lake_folder}/reports"
+    matrix = feature_matrix(build_features(mart), "po_id")
+    trained = training.train(matrix, model_path, **trees)
+    reports.write_report(
+        trained.withColumn("baseline_otif_rate", metrics.baseline_rate(matrix).scalar()), f"{folder}/model_eval"
+    )
+    model = training.load_model(model_path)
+    scored = scoring.model_scorer(model)(split(matrix)[1])
+    predicted = scored.withColumn("predicted_otif", (F.col("otif_proba") >= 0.5).cast("int"))
+    reports.write_report(metrics.classification_report(predicted), f"{folder}/classification")
+    reports.write_report(
+        training.global_importance(spark, training.importances(model)), f"{folder}/feature_importance"
+    )
+    return spark.read.json(f"{folder}/model_eval")
+
+
 def run(
     spark: SparkSession, raw_folder: str, lake_folder: str, database: str = "gold",
     on_missing: str = "error", fit_model: bool = True, **trees,
 ) -> Result:
-    """Load, transform, test, then train and measure drift; a failed test stops the rest."""
+    """Load, transform, test, then index, train, measure drift and health; a failed
+    test stops everything after it."""
     bronze = f"{lake_folder}/bronze"
     manifest = load_bronze(spark, raw_folder, bronze, on_missing=on_missing)
     views = stage(spark, bronze)
     build_gold(spark, views, database, f"{lake_folder}/gold")
     mart = read_orders(spark, database)
     kpi = lake.read_gold(spark, "marts_supplier_kpi", database)
-    checks = quality.enforce(
-        quality.run_checks(mart, kpi, views["stg_purchase_orders"], views["stg_parts_master"])
+    checks = stored(
+        quality.run_checks(mart, kpi, views["stg_purchase_orders"], views["stg_parts_master"]), "checks"
     )
-    result = Result(manifest, checks)
-    lake.write_gold(documents.supplier_documents(kpi), "supplier_documents", database)
+    result = Result(manifest, quality.enforce(checks))
+    build_index(spark, database, f"{lake_folder}/embedder")
     if fit_model:
-        model_path = f"{lake_folder}/model"
-        matrix = feature_matrix(build_features(mart), "po_id")
-        result.metrics = training.train(matrix, model_path, **trees)
-        reports.write_report(result.metrics, f"{lake_folder}/reports/model_eval")
-        weights = training.importances(training.load_model(model_path))
-        reports.write_report(
-            training.global_importance(spark, weights), f"{lake_folder}/reports/feature_importance"
-        )
-    report = drift.mean_shift_report(drift.populations(mart))
-    reports.write_report(report, f"{lake_folder}/reports/drift")
-    result.drift = reports.load_drift_report(spark, f"{lake_folder}/reports/drift")
+        result.metrics = train_and_evaluate(spark, mart, lake_folder, **trees)
+    drift_path = f"{lake_folder}/reports/drift"
+    reports.write_report(drift.mean_shift_report(drift.populations(mart)), drift_path)
+    result.drift = reports.load_drift_report(spark, drift_path)
+    tables = ["marts_otif_kpi", "marts_otif_summary", "marts_supplier_kpi", "supplier_vectors"]
+    found = health.health_checks(
+        spark, [f"{database}.{name}" for name in tables],
+        {"bronze": bronze, "model": f"{lake_folder}/model"},
+    )
+    result.health = health.pipeline_health(
+        found, result.drift, reports.read_log(spark, f"{lake_folder}/rag_logs")
+    )
     return result

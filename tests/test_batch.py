@@ -22,13 +22,16 @@ def test_whole_run(spark, tmp_path):
     result = batch.run(spark, raw, out, database="gold_run", maxIter=2)
     assert result.manifest.count() == 4
     assert result.checks.filter("status = 'fail'").isEmpty() and result.checks.count() == 13
-    assert result.metrics.first()["test_size"] > 0
+    assert result.metrics.first()["test_size"] > 0 and "baseline_otif_rate" in result.metrics.columns
+    assert spark.read.json(f"{out}/reports/classification").count() == 5
+    health = result.health.first()
+    assert health["healthy"] is True and len(health["checks"]) == 6 and health["rag"]["total_calls"] == 0
     assert result.drift.first()["status"] == "measured"
     mart = batch.read_orders(spark, "gold_run")
     assert mart.filter("not is_delivered").count() + mart.filter("is_delivered").count() == mart.count()
     plan = mart.filter("is_delivered")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(is_delivered" in plan
-    for name in ("marts_otif_summary", "marts_supplier_kpi", "supplier_documents"):
+    for name in ("marts_otif_summary", "marts_supplier_kpi", "supplier_documents", "supplier_vectors"):
         assert not lake.read_gold(spark, name, "gold_run").isEmpty()
 
 

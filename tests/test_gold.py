@@ -79,3 +79,8 @@ def test_seeded_violations_are_found(spark):
         raise AssertionError("the gate let a failure pass")
     except quality.QualityGateError as error:
         assert "po_id unique: 1" in str(error)
+
+
+def test_orders_by_id(spark):
+    mart, _ = marts(spark, [order(), order("P2"), order("P3")])
+    assert {r["po_id"] for r in kpis.orders_by_id(mart, "P1", "P3", "PX").collect()} == {"P1", "P3"}
