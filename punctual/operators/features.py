@@ -93,13 +93,15 @@ def describe_features(matrix: DataFrame) -> DataFrame:
 
 # --- split ------------------------------------------------------------------
 
-# Hash ranges of the exact split: 65,536, so the numbered range is a small part
-# of any table.
-SPLIT_BITS = 16
+# Bits of the order hash, and how many of them number the ranges of the exact
+# split: 65,536, so the range that gets numbered is a small part of any table.
+HASH_BITS, RANGE_BITS = 60, 16
 
 
 def _shuffled(key: str) -> Column:
-    return F.xxhash64(F.col(key), F.lit(SEED))
+    """Hash of the key that any engine can repeat: 15 hex digits of a SHA-256."""
+    digits = F.substring(F.sha2(F.concat(F.col(key), F.lit(f"#{SEED}")), 256), 1, HASH_BITS // 4)
+    return F.conv(digits, 16, 10).cast("bigint")
 
 
 def split(df: DataFrame, key: str = "po_id", test_share: float = TEST_SHARE) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +125,7 @@ def split_exact(
     """
     # The top bits of the hash number its range.
     placed = df.withColumn("__hash", _shuffled(key)).withColumn(
-        "__range", F.shiftrightunsigned("__hash", 64 - SPLIT_BITS)
+        "__range", F.shiftright("__hash", HASH_BITS - RANGE_BITS)
     )
     counts = placed.groupBy(label, "__range").agg(F.count(F.lit(1)).alias("__n"))
     of_class = Window.partitionBy(label)

@@ -426,10 +426,7 @@ def describe_features(spark, folder):
 
 @register
 def split_exact(spark, folder):
-    """Rows per class and part."""
-    return features.split_exact(matrix(spark, folder)).groupBy("label", "is_test").agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
+    return features.split_exact(matrix(spark, folder)).select("po_id", "label", "is_test")
 
 
 @register

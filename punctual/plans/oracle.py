@@ -400,6 +400,8 @@ _RANKING = """supplier_id, supplier_risk_class, round(coalesce(otif_rate, 0), 4)
        round(coalesce(avg_delay_days, 0), 2) AS avg_delay_days, total_incidents, critical_incidents, total_orders"""
 _KNOWN = "s.po_id IS NOT NULL"
 
+_SHUFFLED = "cast(('0x' || substr(sha256(concat(po_id, '#42')), 1, 15)) AS bigint)"
+
 BODIES = {
     "bronze_manifest": """
         SELECT 'parts_master' AS name, count(*) AS n_rows, 9 AS n_cols FROM raw_parts
@@ -479,10 +481,12 @@ BODIES = {
                round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.75), 3) AS p75,
                round(max(value), 3) AS max
         FROM long_matrix GROUP BY feature""",
-    "split_exact": """
-        SELECT label, true AS is_test, cast(round(count(*) * 0.2e0) AS bigint) AS n_rows FROM matrix GROUP BY label
-        UNION ALL
-        SELECT label, false, count(*) - cast(round(count(*) * 0.2e0) AS bigint) FROM matrix GROUP BY label""",
+    "split_exact": f"""
+        SELECT po_id, label, row_number() OVER (PARTITION BY label ORDER BY {_SHUFFLED}, po_id)
+                             <= round(count(*) OVER (PARTITION BY label) * 0.2e0) AS is_test
+        FROM matrix""",
+    "split_by_hash": f"""
+        SELECT po_id, CASE WHEN {_SHUFFLED} % 1000 < 200 THEN 'test' ELSE 'train' END AS part FROM matrix""",
     "roc_auc": f"SELECT round({_AUC}, 9) AS roc_auc",
     "confusion": "SELECT label, predicted, count(*) AS n_rows FROM scored_matrix GROUP BY label, predicted",
     "evaluation_report": f"""
