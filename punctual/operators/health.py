@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from punctual.sources.lake import path_exists
 from punctual.sources.reports import call_stats
 
 
@@ -13,19 +13,10 @@ def has_rows(spark: SparkSession, table: str) -> bool:
     return spark.catalog.tableExists(table) and not spark.table(table).isEmpty()
 
 
-def readable(spark: SparkSession, path: str) -> bool:
-    """Is there anything at the path that Spark can list."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        return True
-    except AnalysisException:
-        return False
-
-
 def health_checks(spark: SparkSession, tables: list[str], paths: dict[str, str]) -> DataFrame:
     """check, ok for each table and named path."""
     rows = [(table, has_rows(spark, table)) for table in tables]
-    rows += [(name, readable(spark, path)) for name, path in paths.items()]
+    rows += [(name, path_exists(spark, path)) for name, path in paths.items()]
     return spark.createDataFrame(rows, "check string, ok boolean")
 
 

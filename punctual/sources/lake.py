@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from punctual.functions.running import with_sequence
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asked of the file system itself: nothing below the path is listed."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_bronze(spark: SparkSession, bronze_folder: str, name: str) -> DataFrame:
     """One Bronze table; orders that arrived as a stream are part of it."""
     root = bronze_folder.rstrip("/")
     table = spark.read.parquet(f"{root}/{name}")
-    if _exists(spark, live_path(root, name)):
+    if path_exists(spark, live_path(root, name)):
         live = spark.read.parquet(live_path(root, name)).select(table.columns)
         table = table.unionByName(live)
     return table

@@ -1,8 +1,10 @@
 import datetime
+import random
 
 import pytest
 
 from punctual.operators import silver
+from punctual.schemas import BRONZE
 from rows import frame, order, part
 
 
@@ -65,3 +67,36 @@ def test_deduplicate_keeps_the_smallest_row(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", None, "z"), ("a", 1, "y"), ("b", 5, "q")], "k string, n int, t string")
     rows = {tuple(r) for r in silver.deduplicate(df, "k").collect()}
     assert rows == {("a", None, "z"), ("b", 5, "q")}
+
+
+def expected(row):
+    """The delivery rules in plain Python."""
+    def day(text):
+        try:
+            return datetime.date.fromisoformat(text) if text else None
+        except ValueError:
+            return None
+
+    promised, received = day(row["promised_date"]), day(row["receipt_date"])
+    ordered_qty, received_qty = row["ordered_qty"], row["received_qty"]
+    arrived = row["receipt_date"] is not None
+    on_time = received is not None and promised is not None and received <= promised
+    in_full = ordered_qty is not None and received_qty is not None and received_qty >= ordered_qty
+    delay = (received - promised).days if received and promised else None
+    return (arrived, delay if arrived else None, on_time if arrived else None,
+            in_full if arrived else None, (on_time and in_full) if arrived else None)
+
+
+def test_random_orders_against_plain_rules(spark):
+    pick = random.Random(4)
+    days = [None, "bad", ""] + [f"2024-01-{d:02d}" for d in range(1, 20)]
+    amounts = [None, 0.0] + [float(i) for i in range(1, 8)]
+    rows = [
+        order(f"P{i}", promised_date=pick.choice(days), receipt_date=pick.choice(days),
+              ordered_qty=pick.choice(amounts), received_qty=pick.choice(amounts))
+        for i in range(800)
+    ]
+    got = {r["po_id"]: tuple(r[c] for c in ("is_delivered", "delay_days", "is_on_time", "is_in_full", "is_otif"))
+           for r in silver.stg_purchase_orders(frame(spark, "purchase_orders", *rows)).collect()}
+    names = list(BRONZE["purchase_orders"])
+    assert got == {r[0]: expected(dict(zip(names, r))) for r in rows}

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,13 +39,22 @@ def test_numbers_as_text(spark):
     assert value(spark, thousands_text(F.lit(1234567.5))) == "1,234,568"
 
 
-@pytest.mark.parametrize("x, digits, want", [(0.575, 2, 0.57), (2.5, 0, 3.0), (-2.5, 0, -3.0), (12.35, 1, 12.4)])
+@pytest.mark.parametrize("x, digits, want", [(2.5, 0, 3.0), (-2.5, 0, -3.0), (12.35, 1, 12.4), (0.12344, 4, 0.1234)])
 def test_half_up(spark, x, digits, want):
-    if x == 0.575:
-        want = 0.57 if 0.575 * 100 < 57.5 else 0.58
     assert value(spark, half_up(F.lit(x), digits)) == want
 
 
+def test_half_up_of_every_small_ratio_as_in_sql(spark):
+    pairs = spark.range(1, 301).withColumnRenamed("id", "n").select("n", F.explode(F.sequence(F.lit(0), "n")).alias("k"))
+    ratio = F.col("k").cast("double") / F.col("n").cast("double")
+    got = pairs.select("n", "k", *[half_up(ratio, p).alias(f"p{p}") for p in range(1, 5)]).toPandas()
+    con = duckdb.connect()
+    con.register("got", got)
+    wrong = " OR ".join(f"p{p} <> round(k * 1e0 / n, {p})" for p in range(1, 5))
+    assert con.execute(f"SELECT count(*) FROM got WHERE {wrong}").fetchall() == [(0,)]
+    assert len(got) == 45450
+
+
 def test_category_code(spark):
     assert value(spark, category_code(F.lit(" Avionics\t"))) == 4213257760
     assert value(spark, category_code(F.lit(None))) == value(spark, category_code(F.lit("unknown")))
