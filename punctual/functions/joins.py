@@ -22,6 +22,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Size of all tables the DataFrame is computed from, leaving out rows handed over
+    by the driver, for which Spark has only its default."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    unknown = int(df.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes())
+    return sum(size for size in sizes if size < unknown)
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Size of the rows themselves, counted by one pass: text as it is, the rest at 8 bytes."""
     width = F.lit(8 * len(df.columns))
@@ -38,9 +47,9 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
     """Equi-join a large table with a table of attributes (``how``: left or inner).
 
     A table the optimizer sees below the broadcast threshold is broadcast by
-    Spark. The optimizer is far off above joins, so a right side that looks
-    larger is measured before it is given up. With a broadcast the large side is
-    not shuffled and skew cannot arise. Beyond the threshold the join is
+    Spark. The optimizer multiplies sizes at joins, so a right side that looks
+    larger but comes from small tables is measured before it is given up. With a
+    broadcast the large side is not shuffled and skew cannot arise. Otherwise the join is
     shuffled; a key of the left side that would fill more than two shuffle
     partitions is cut into pieces and its right rows are repeated per piece.
     A stream's left side is one micro-batch, whose size the reader bounds.
@@ -50,7 +59,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
     limit = broadcast_limit(left)
     if estimated_bytes(right) <= limit:
         return left.join(right, on, how)
-    if limit > 0 and measured_bytes(right) <= limit:
+    if source_bytes(right) <= limit and measured_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
     if left.isStreaming:
         return left.join(right, on, how)

@@ -47,6 +47,24 @@ def test_small_tables_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_small_table_behind_a_join_is_measured(spark, tmp_path):
+    lookup(spark).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    right = stored.join(stored.select("k", F.length("k").alias("n")).hint("merge"), "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        assert joins.estimated_bytes(right) > 20000 >= joins.measured_bytes(right)
+        joined = joins.lookup_join(skewed(spark), right, "k")
+        assert "__piece" not in joined._jdf.queryExecution().optimizedPlan().toString()
+        # From large tables it is not: measuring would cost a pass over them.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000")
+        joined = joins.lookup_join(skewed(spark), right, "k")
+        assert "__piece" in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_pick_rows(spark, how):
     table = lookup(spark).crossJoin(spark.range(1)).drop("id")
