@@ -105,31 +105,28 @@ TABLES = {
         SELECT 'criticality_class', criticality_class, * FROM mart WHERE is_otif IS NOT NULL""",
     "summary": """
         SELECT segment_type, segment_value, count(*) AS total_orders,
-               cast(sum(CASE WHEN is_otif THEN 1 ELSE 0 END) AS bigint) AS otif_orders,
-               round(100.0e0 * sum(CASE WHEN is_otif THEN 1 ELSE 0 END) / count(*), 2) AS otif_rate_pct,
+               count(*) FILTER (is_otif) AS otif_orders,
+               round(100e0 * count(*) FILTER (is_otif) / count(*), 2) AS otif_rate_pct,
                round(avg(delay_days), 1) AS avg_delay_days, round(avg(fill_rate), 3) AS avg_fill_rate
-        FROM segments GROUP BY segment_type, segment_value""",
+        FROM segments GROUP BY ALL""",
     "incident_counts": """
-        SELECT supplier_id, count(incident_id) AS total_incidents,
-               cast(sum(scrap_qty) AS bigint) AS total_scrap_qty,
-               count(CASE WHEN defect_severity = 'Critical' THEN 1 END) AS critical_incidents
+        SELECT supplier_id, count(*) AS total_incidents, cast(sum(scrap_qty) AS bigint) AS total_scrap_qty,
+               count(*) FILTER (defect_severity = 'Critical') AS critical_incidents
         FROM stg_incidents GROUP BY supplier_id""",
-    "stats": """
-        SELECT supplier_id, max(supplier_risk_class) AS supplier_risk_class, count(po_id) AS total_orders,
-               count(CASE WHEN is_delivered THEN 1 END) AS delivered_orders,
-               count(CASE WHEN NOT is_delivered THEN 1 END) AS pending_orders,
-               count(CASE WHEN is_on_time THEN 1 END) AS on_time_orders,
-               count(CASE WHEN is_in_full THEN 1 END) AS in_full_orders,
-               count(CASE WHEN is_otif THEN 1 END) AS otif_orders,
-               round(count(CASE WHEN is_on_time THEN 1 END) * 1e0
-                     / nullif(count(CASE WHEN is_delivered THEN 1 END), 0), 4) AS on_time_rate,
-               round(count(CASE WHEN is_in_full THEN 1 END) * 1e0
-                     / nullif(count(CASE WHEN is_delivered THEN 1 END), 0), 4) AS in_full_rate,
-               round(count(CASE WHEN is_otif THEN 1 END) * 1e0
-                     / nullif(count(CASE WHEN is_delivered THEN 1 END), 0), 4) AS otif_rate,
+    "order_counts": """
+        SELECT supplier_id, max(supplier_risk_class) AS supplier_risk_class, count(*) AS total_orders,
+               count(*) FILTER (is_delivered) AS delivered_orders,
+               count(*) FILTER (NOT is_delivered) AS pending_orders,
+               count(*) FILTER (is_on_time) AS on_time_orders, count(*) FILTER (is_in_full) AS in_full_orders,
+               count(*) FILTER (is_otif) AS otif_orders,
                round(avg(delay_days), 2) AS avg_delay_days, max(delay_days) AS max_delay_days,
                round(sum(total_order_cost), 2) AS total_ordered_spend
         FROM mart GROUP BY supplier_id""",
+    "stats": """
+        SELECT *, round(on_time_orders * 1e0 / nullif(delivered_orders, 0), 4) AS on_time_rate,
+               round(in_full_orders * 1e0 / nullif(delivered_orders, 0), 4) AS in_full_rate,
+               round(otif_orders * 1e0 / nullif(delivered_orders, 0), 4) AS otif_rate
+        FROM order_counts""",
     "kpi": """
         SELECT s.*, coalesce(i.total_incidents, 0) AS total_incidents,
                coalesce(i.critical_incidents, 0) AS critical_incidents,
@@ -137,8 +134,8 @@ TABLES = {
         FROM stats s LEFT JOIN incident_counts i ON s.supplier_id = i.supplier_id""",
     "overall": """
         SELECT coalesce(round(avg(otif_score), 4), 0) AS global_otif,
-               coalesce(round(avg(CASE WHEN is_on_time THEN 1e0 ELSE 0e0 END), 4), 0) AS on_time_rate,
-               coalesce(round(avg(CASE WHEN is_in_full THEN 1e0 ELSE 0e0 END), 4), 0) AS in_full_rate,
+               coalesce(round(count(*) FILTER (is_on_time) * 1e0 / nullif(count(*), 0), 4), 0) AS on_time_rate,
+               coalesce(round(count(*) FILTER (is_in_full) * 1e0 / nullif(count(*), 0), 4), 0) AS in_full_rate,
                count(*) AS total_orders
         FROM mart WHERE otif_score IS NOT NULL""",
     "asked": """
