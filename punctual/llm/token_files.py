@@ -114,11 +114,11 @@ def pack_file(ids: np.ndarray, lengths: np.ndarray, keys: list[int | None], widt
 class TokenFile:
     """A file's documents, each reached by its place without decoding the others."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         if data[:8] != MARK:
             raise ValueError("not a token file")
         size = int.from_bytes(data[8:12], "little")
-        header = json.loads(data[12 : 12 + size])
+        header = json.loads(bytes(data[12 : 12 + size]))
         view, at, blocks = memoryview(data), 12 + size, []
         for n in header["blocks"]:
             blocks.append(view[at : at + n])
@@ -212,7 +212,7 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("file"), batch.column("content")):
-                one = TokenFile(data.as_buffer())
+                one = TokenFile(memoryview(data.as_buffer()))
                 ends = one.ends.all().astype(np.int64)
                 begins = np.append(0, ends[:-1])
                 sums = [
