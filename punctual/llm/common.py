@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from punctual.session import scratch_path, shared_root, stored
@@ -34,7 +35,7 @@ def slices(
     """The batches cut so that the strings of one piece hold about ``most_bytes``
     (one longer string stays whole): bounds the memory that a piece's arrays take."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
         ends = sizes.cast(pa.int64()).to_numpy(zero_copy_only=False).cumsum()
         start = 0
         while start < batch.num_rows:

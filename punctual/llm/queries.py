@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from punctual.llm import packing, token_files
+from punctual.llm import decontamination, packing, token_files
 from punctual.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -16,9 +16,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(docs, public_tokenizers.path(BYTE_BPE))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.digest(decontamination.find(docs, read(spark, sf_dir, "benchmark")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op9_packing)}
 SQL: dict[str, str] = {}
