@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, packing, token_files
+from punctual.llm import decontamination, packing, simhash, token_files, toxicity
 from punctual.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,9 +21,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.learn(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op6_toxicity, op9_packing)}
 SQL: dict[str, str] = {}
