@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, packing, simhash, token_files, toxicity
+from punctual.llm import decontamination, licenses, packing, simhash, token_files, toxicity
 from punctual.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -34,9 +34,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The documents as files below their source and language, a hundred to a directory.
+    path = F.concat_ws(
+        "/", "source", "lang", F.floor(F.col("doc_id") / 100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    )
+    return licenses.scan(read(spark, sf_dir, "documents").withColumn("path", path), ["doc_id"])
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op6_toxicity, op9_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op6_toxicity, op7_licenses, op9_packing)}
+SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
