@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import decontamination, licenses, packing, simhash, token_files, toxicity
+from punctual.llm import decontamination, licenses, packing, sentence_spans, simhash, token_files, toxicity
 from punctual.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -42,9 +42,17 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents").withColumn("path", path), ["doc_id"])
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_spans.remove_repeats(docs).select(
+        "doc_id", "__kept.n_sentences", "__kept.n_removed", F.octet_length("text").cast("long").alias("n_bytes"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op6_toxicity, op7_licenses, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing)}
 SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
