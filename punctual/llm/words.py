@@ -23,7 +23,7 @@ class Words:
     """The words of several texts: ``first`` and ``last`` byte of each word in ``raw``,
     a hash of each, and the number of the text it is in."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], hashes: bool = True):
         self.raw = b"\0".join(texts).translate(_LOWER) + b"\0"
         data = np.frombuffer(self.raw, np.uint8)
         inside = _IS_WORD[data]
@@ -32,8 +32,7 @@ class Words:
         ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
         self.text = np.searchsorted(ends, self.first, side="right")
         self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
-        # Sum of byte x power over a word, moved so that it does not depend on the place.
-        self.hash = self._hashes(data)
+        self.hash = self._hashes(data) if hashes else None
 
     def _hashes(self, data: np.ndarray) -> np.ndarray:
         sizes = self.last - self.first
