@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import backoff, decontamination, licenses, packing, sentence_spans, simhash, token_files, toxicity
+from punctual.llm import backoff, decontamination, licenses, packing, pivots, sentence_spans, simhash, token_files, toxicity
 from punctual.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     grammar = toxicity.learn(docs, read(spark, sf_dir, "labels"))
@@ -58,5 +62,5 @@ def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing, op10_backoff)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op5_pivots, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing, op10_backoff)}
 SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
