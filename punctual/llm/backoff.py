@@ -29,39 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from punctual.llm.common import slices, text_column
+from punctual.llm.packed import ascending_in, ascending_out, by_range, chunks, numbers_in, numbers_out
 from punctual.llm.words import MULTIPLIER, Words, mixed
 
 ORDER = 3
 ALPHA = 0.4
-#: Text of a chunk, and n-grams of a hash range on average (before equal ones are merged).
-CHUNK_BYTES = 8 << 20
+#: N-grams of a hash range on average (before equal ones are merged).
 RANGE_NGRAMS = 2_000_000
 
 
-def _deltas(values: np.ndarray) -> bytes:
-    """Ascending 64-bit numbers as differences, byte by byte: the upper ones are nearly zero."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _values(data: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * n)
-    planes = np.frombuffer(raw, np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def _counts(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(
-        np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    )
-
-
-def _numbers(data: bytes, n: int) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data, max_output_size=8 * n)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<i8").reshape(-1)
-
-
 class Chunk:
     """The n-grams of some texts: at every word the hash of each order's n-gram that ends
     there (0 where the text has fewer words before it)."""
@@ -110,28 +86,17 @@ class Chunk:
         return sizes, sums
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Chunks with numbers that are the same whenever the table is read."""
-    for number, batch in enumerate(slices(batches, most_bytes=CHUNK_BYTES)):
-        yield (batch.column("part")[0].as_py() << 32) + number, batch
-
-
-def _range(grams: np.ndarray, ranges: int) -> np.ndarray:
-    return ((grams >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-
-
 def _ask(order: int, ranges: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in _chunks(batches):
+        for number, batch in chunks(batches):
             chunk = Chunk(batch.column("text").to_pylist(), order)
-            cuts = np.searchsorted(_range(chunk.asked, ranges), np.arange(ranges + 1, dtype=np.uint64))
-            rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if a < b]
+            rows = by_range(chunk.asked, ranges)
             yield pa.RecordBatch.from_arrays([
                 pa.array([r for r, _, _ in rows], pa.int64()),
                 pa.array([number] * len(rows), pa.int64()),
                 pa.array([b - a for _, a, b in rows], pa.int64()),
-                pa.array([_deltas(chunk.asked[a:b]) for _, a, b in rows], pa.binary()),
-                pa.array([_counts(chunk.asked_times[a:b]) for _, a, b in rows], pa.binary()),
+                pa.array([ascending_out(chunk.asked[a:b]) for _, a, b in rows], pa.binary()),
+                pa.array([numbers_out(chunk.asked_times[a:b]) for _, a, b in rows], pa.binary()),
             ], ["range", "chunk", "n", "grams", "counts"])
 
     return ask
@@ -140,13 +105,13 @@ def _ask(order: int, ranges: int):
 def _answer(table: pa.Table) -> pa.Table:
     """One hash range: add up the counts, give each row the totals of its n-grams."""
     sizes = table.column("n").to_pylist()
-    grams = [_values(g.as_py(), n) for g, n in zip(table.column("grams"), sizes)]
-    own = [_numbers(c.as_py(), n) for c, n in zip(table.column("counts"), sizes)]
+    grams = [ascending_in(g.as_py(), n) for g, n in zip(table.column("grams"), sizes)]
+    own = [numbers_in(c.as_py(), n) for c, n in zip(table.column("counts"), sizes)]
     known, places = np.unique(np.concatenate(grams), return_inverse=True)
     totals = np.zeros(len(known), np.int64)
-    np.add.at(totals, places, np.concatenate(own))
+    np.add.at(totals, places, np.concatenate(own).astype(np.int64))
     ends = np.cumsum(sizes).tolist()
-    back = [_counts(totals[places[e - n : e]]) for e, n in zip(ends, sizes)]
+    back = [numbers_out(totals[places[e - n : e]]) for e, n in zip(ends, sizes)]
     return pa.table({
         "chunk": table.column("chunk"), "range": table.column("range"), "n": table.column("n"),
         "counts": pa.array(back, pa.binary()),
@@ -158,7 +123,7 @@ ANSWER = "chunk long, range long, n long, counts binary, ids array<long>"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, batch in _chunks(batches):
+    for number, batch in chunks(batches):
         # A zero byte is in no word, so it can stand between texts.
         joined = "\0".join((t or "").replace("\0", " ") for t in batch.column("text").to_pylist())
         packed = zstandard.ZstdCompressor(level=3).compress(joined.encode())
@@ -176,8 +141,8 @@ def _sum(order: int, all_words: int, alpha: float):
         texts = zstandard.ZstdDecompressor().decompress(first["counts"]).decode().split("\0")
         chunk = Chunk(texts, order)
         rest = table.slice(1)
-        counts = [_numbers(c.as_py(), n) for c, n in zip(rest.column("counts"), rest.column("n").to_pylist())]
-        sizes, sums = chunk.scores(np.concatenate(counts) if counts else np.zeros(0, np.int64), all_words, alpha, len(texts))
+        counts = [numbers_in(c.as_py(), n) for c, n in zip(rest.column("counts"), rest.column("n").to_pylist())]
+        sizes, sums = chunk.scores(np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64), all_words, alpha, len(texts))
         return pa.table({
             "doc_id": pa.array(first["ids"], pa.int64()), "n_words": pa.array(sizes.astype(np.int64)),
             "log_score": pa.array(sums),

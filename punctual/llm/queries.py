@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import backoff, decontamination, licenses, packing, pivots, sentence_spans, simhash, token_files, toxicity
+from punctual.llm import backoff, decontamination, licenses, packing, pivots, sentence_spans, simhash, substrings, token_files, toxicity
 from punctual.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +21,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.find(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -62,5 +69,5 @@ def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op4_simhash, op5_pivots, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing, op10_backoff)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_substrings, op4_simhash, op5_pivots, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing, op10_backoff)}
 SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
