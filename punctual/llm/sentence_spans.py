@@ -42,14 +42,16 @@ def sentences(text: str) -> list[tuple[int, int]]:
     with the one before it."""
     spans, start = [], 0
     for gap in BREAK.finditer(text):
-        if gap.start() > start:
+        if text[start : gap.start()].strip():
             spans.append((start, gap.end()))
             start = gap.end()
         elif spans:
             spans[-1] = (spans[-1][0], gap.end())
             start = gap.end()
-    if start < len(text):
+    if text[start:].strip():
         spans.append((start, len(text)))
+    elif spans:
+        spans[-1] = (spans[-1][0], len(text))
     return spans
 
 

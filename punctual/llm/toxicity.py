@@ -8,10 +8,9 @@ a threat verb after a modal, it puts out a match that names what was in mind. A
 is the logistic function of the weighted numbers of its matches: no word counts outside its
 clause's pattern.
 
-Two parts are learned from labelled rows: the insult words with their stems (words that occur
+Two parts are learned from labelled rows: further insult words with their stems (words that occur
 in toxic rows nearly always, too often for chance), and the weights of the matches. Learning
 reads at most ``SAMPLE_ROWS`` labelled rows, those with the smallest hash of ``doc_id``.
-``fixed_lexicon`` may add words.
 
 Nulls and edges: a null or empty text has no match and gets the score of such texts. Rows of
 ``labels`` with a null id or label teach nothing; of several labels for one id the highest
@@ -53,6 +52,11 @@ SIGNS = {
     THREAT: "kill hurt destroy beat burn shoot stab hang crush tuer frapper détruire brûler töten schlagen vernichten "
             "verbrennen matar golpear destruir quemar",
 }
+# Common insults known before anything is learned: a fixed list.
+INSULTS = (
+    "idiot moron imbecile fool stupid dumb scum trash filth vermin clown loser jerk creep bastard pathetic worthless "
+    "disgusting despicable dummkopf trottel abschaum idiote crétin connard ordure idiota imbécil escoria basura"
+)
 #: Words after a negation in which it still holds.
 REACH = 3
 #: Matches beyond this many of one kind add nothing.
@@ -115,7 +119,7 @@ class Reader:
 
     def __init__(self, grammar: Grammar):
         signs = {w: sign for sign, words in SIGNS.items() for w in words.split()}
-        signs |= {w: INSULT for w in grammar.words}
+        signs |= {w: INSULT for w in [*INSULTS.split(), *grammar.words]}
         known = Words([w.encode() for w in signs])
         whole = np.diff(known.bounds) == 1  # a word that is one by the pattern
         order = np.argsort(known.hash[known.bounds[:-1][whole]])
@@ -165,7 +169,7 @@ def held_out(column: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
-          fixed_lexicon: list[str] = (), most_words: int = LEXICON_WORDS) -> Grammar:
+          most_words: int = LEXICON_WORDS) -> Grammar:
     """The grammar of the labelled rows of ``docs`` that are not held out."""
     marked = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
@@ -179,7 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
         .join(F.broadcast(marked), "doc_id"), "labelled"
     )
     toxic, total = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
-    grammar = Grammar(words=list(fixed_lexicon))
+    grammar = Grammar()
     if not toxic or toxic == total:
         return grammar
     seen = rows.select(
