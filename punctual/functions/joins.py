@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 _UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20,
           "g": 2**30, "gb": 2**30}
@@ -80,22 +81,37 @@ def pick_rows(keys: DataFrame, table: DataFrame, on: str, how: str = "left") ->
     return _split_join(keys, table, on, how)
 
 
+#: A hot key is cut into this many pieces per partition that it would fill.
+CUTS = 4
+
+
 def _split_join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
     spark = left.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("__rows"))
-    total = left.agg(F.count(F.lit(1))).scalar()
+    if left.columns == [on]:
+        # Keys alone: each is looked up once and repeated afterwards.
+        once = left.groupBy(on).agg(F.count(F.lit(1)).alias("__rows"))
+        found = once.join(right, on, how)
+        return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__rows")))).drop("__rows", "__copy")
     # A key counts as hot above 2/partitions of all rows, so there are fewer than
-    # partitions/2 of them: the table below is bounded whatever the data.
+    # partitions/2 of them: the table below is bounded whatever the data. The total is
+    # observed while the largest counts are taken, in one pass over the keys.
+    seen = Observation()
+    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("__rows")).observe(
+        seen, F.coalesce(F.sum("__rows"), F.lit(0)).alias("total")
+    )
+    largest = counts.orderBy(F.desc("__rows")).limit(partitions).collect()
+    total = seen.get["total"]
     hot = spark.createDataFrame(
-        counts.filter(F.col(on).isNotNull() & (F.col("__rows") * partitions > total * 2))
-        .select(on, F.ceil(F.col("__rows") * partitions / total).cast("int").alias("__pieces"))
-        .collect(),
+        [
+            (r[on], math.ceil(CUTS * r["__rows"] * partitions / total)) for r in largest
+            if r[on] is not None and r["__rows"] * partitions > total * 2
+        ],
         f"`{on}` {left.schema[on].dataType.simpleString()}, __pieces int",
     )
     spread = F.xxhash64(*[F.col(f"`{name}`") for name in left.columns])
     # Rows without a key match nothing; spread them so they share no task.
-    pieces = F.when(F.col(on).isNull(), F.lit(partitions)).otherwise(
+    pieces = F.when(F.col(on).isNull(), F.lit(CUTS * partitions)).otherwise(
         F.coalesce(F.col("__pieces"), F.lit(1))
     )
     left_cut = left.join(F.broadcast(hot), on, "left").withColumn(

@@ -121,7 +121,7 @@ def split_exact(
 
     Rows are ordered by hash within their class. The hash ranges that lie wholly
     on one side of the cut need only their counts; rows are numbered only in the
-    one range per class the cut falls into. ``key`` must be unique.
+    one range per class the cut falls into, to find the last test row. ``key`` must be unique.
     """
     # The top bits of the hash number its range.
     placed = df.withColumn("__hash", _shuffled(key)).withColumn(
@@ -136,10 +136,21 @@ def split_exact(
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
         F.round(F.sum("__n").over(of_class) * F.lit(float(test_share))).cast("bigint").alias("__want"),
     ).filter("__before <= __want and __want < __before + __n").drop("__n")
-    placed = placed.join(F.broadcast(cut), label)
-    order = Window.partitionBy(label, "__range").orderBy("__hash", key)
-    decided = placed.filter("__range <> __cut").withColumn("is_test", F.col("__range") < F.col("__cut"))
-    at_cut = placed.filter("__range = __cut").withColumn(
-        "is_test", F.col("__before") + F.row_number().over(order) <= F.col("__want")
+    cut = cut.withColumnRenamed(label, "__label")
+    same_label = F.col(label).eqNullSafe(F.col("__label"))
+    # The last test row of each class, from the rows of its cut's range alone.
+    order = Window.partitionBy("__label").orderBy("__hash", key)
+    last = (
+        placed.join(F.broadcast(cut), same_label).filter("__range = __cut")
+        .withColumn("__place", F.col("__before") + F.row_number().over(order)).filter("__place = __want")
+        .select(F.col("__label").alias("__of"), F.struct("__hash", F.col(key).alias("__key")).alias("__last"))
     )
-    return decided.unionByName(at_cut).select(*df.columns, "is_test")
+    # One row per class.
+    cut = cut.join(last, F.col("__label").eqNullSafe(F.col("__of")), "left").drop("__of")
+    here = F.struct("__hash", F.col(key).alias("__key"))
+    is_test = (
+        F.when(F.col("__cut").isNull(), True)  # as many test rows as rows
+        .when(F.col("__range") == F.col("__cut"), F.coalesce(here <= F.col("__last"), F.lit(False)))
+        .otherwise(F.col("__range") < F.col("__cut"))
+    )
+    return placed.join(F.broadcast(cut), same_label, "left").withColumn("is_test", is_test).select(*df.columns, "is_test")

@@ -642,9 +642,7 @@ def risk_prompts(spark, folder):
 
 @register
 def chat_prompts(spark, folder):
-    asked = sample.questions(spark, folder)
-    contexts = retrieval.fallback_documents(asked, gold_kpi(spark, folder)).select("question_id", "docs")
-    return answers.chat_prompts(asked.join(contexts, "question_id"))
+    return answers.chat_prompts(retrieval.fallback_documents(sample.questions(spark, folder), gold_kpi(spark, folder)))
 
 
 @register
@@ -675,21 +673,21 @@ def retrieve_supplier_documents(spark, folder):
 
 # --- streams and health -----------------------------------------------------------------
 
-def _landed(spark, folder) -> str:
-    """The raw orders as files of a landing folder, every order delivered twice."""
-    landing = scratch_path(spark, "landing")
-    orders = sample.purchase_orders(spark, folder)
-    orders.unionByName(orders).write.parquet(landing)
-    return landing
+def _opened(orders):
+    return orders.withColumn("receipt_date", F.lit(None).cast("date")).withColumn("received_qty", F.lit(0.0))
 
 
 @register
 def ingest_stream(spark, folder):
-    """Orders that arrive twice are loaded once."""
-    landing, bronze = _landed(spark, folder), scratch_path(spark, "bronze")
+    """Orders that arrive twice, lie in Bronze already or are closed later are there once,
+    as they stand last."""
+    landing, bronze = scratch_path(spark, "landing"), scratch_path(spark, "bronze")
+    orders = sample.purchase_orders(spark, folder)
+    _opened(orders.filter("part_id % 2 = 0")).write.parquet(f"{bronze}/purchase_orders")
+    orders.unionByName(orders).unionByName(_opened(orders)).write.parquet(landing)
     arriving = stream.read_orders(spark, landing, spark.read.parquet(landing).schema)
     stream.ingest_open_orders(arriving, bronze, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(lake.live_path(bronze, "purchase_orders"))
+    return lake.read_bronze(spark, bronze, "purchase_orders")
 
 
 @register

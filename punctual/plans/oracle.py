@@ -17,14 +17,13 @@ TABLES = {
                CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'Yes' ELSE 'No' END AS is_repairable,
                CASE WHEN p_size % 10 = 0 THEN p_size * 30.0e0 END AS shelf_life_days
         FROM part CROSS JOIN (SELECT count(*) AS nsup FROM supplier)
-        LEFT JOIN supplier ON p_partkey % nsup = s_suppkey
-        WHERE p_partkey % 50 <> 0""",
+        LEFT JOIN supplier ON p_partkey % nsup = s_suppkey""",
     "raw_orders": """
         SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-',
                       cast(cast(l_shipdate AS date) AS varchar)) AS po_id,
                cast(l_suppkey AS varchar) AS supplier_id,
                concat('SITE0', 1 + c_nationkey % 6) AS site_id,
-               cast(l_partkey AS varchar) AS part_id,
+               cast(l_partkey + CASE WHEN l_partkey % 50 = 0 THEN 1000000000 ELSE 0 END AS varchar) AS part_id,
                cast(o_orderdate AS date) AS order_date,
                cast(o_orderdate AS date) + p_size AS promised_date,
                CASE WHEN l_linestatus = 'F' THEN cast(l_shipdate AS date) END AS receipt_date,
@@ -240,7 +239,7 @@ TABLES = {
         SELECT r.question_id, r.supplier_id,
                CASE WHEN r.supplier_id IS NOT NULL AND s.supplier_id IS NOT NULL THEN s.line
                     WHEN r.supplier_id IS NOT NULL
-                        THEN concat('Aucune donnée pour le fournisseur ''', r.supplier_id, '''.')
+                        THEN concat('[no figures for supplier ', r.supplier_id, ']')
                     ELSE (SELECT string_agg(line, '{sep}' ORDER BY place) FROM short_texts WHERE place <= 5)
                END AS docs
         FROM routed r LEFT JOIN short_texts s ON lower(r.supplier_id) = lower(s.supplier_id)""",
@@ -449,7 +448,7 @@ BODIES = {
     "worst_by_kpi": "SELECT supplier_id, otif_rate FROM kpi ORDER BY otif_rate NULLS LAST, supplier_id LIMIT 5",
     "criticality_listing": _segment("criticality_class"),
     "part_family_listing": _segment("part_family"),
-    "last_orders": "SELECT po_id, supplier_id, ordered_qty FROM mart ORDER BY po_id DESC LIMIT 500",
+    "last_orders": "SELECT po_id, supplier_id, ordered_qty FROM mart ORDER BY order_date DESC, po_id DESC LIMIT 500",
     "supplier_diagnostic": """
         SELECT supplier_id, otif_rate,
                CASE WHEN coalesce(otif_rate, 0) < 0.05 OR critical_incidents >= 2 OR coalesce(avg_delay_days, 0) >= 5
@@ -562,7 +561,7 @@ BODIES = {
     "fallback_documents": "SELECT * FROM fallback",
     "retrieve_by_id": """
         SELECT r.supplier_id, coalesce(d.text, s.line,
-               concat('Aucune donnée pour le fournisseur ''', r.supplier_id, '''.')) AS text
+               concat('[no figures for supplier ', r.supplier_id, ']')) AS text
         FROM (SELECT DISTINCT supplier_id FROM routed WHERE supplier_id IS NOT NULL) r
         LEFT JOIN docs d ON r.supplier_id = d.id
         LEFT JOIN short_texts s ON lower(r.supplier_id) = lower(s.supplier_id)""",
@@ -575,21 +574,20 @@ BODIES = {
                    ELSE {_WORST_LIST} END AS answer
         FROM routed r LEFT JOIN kpi k ON lower(r.supplier_id) = lower(k.supplier_id)""",
     "risk_prompts": f"""
-        SELECT po_id, concat('Commande ', po_id,
-                   '\n- Risque de non-OTIF : ', cast(trunc((1e0 - otif_proba) * 100e0) AS integer),
-                   '% (niveau : ', {_risk('1e0 - otif_proba')},
-                   ')\n- Probabilité OTIF : ', cast(trunc(otif_proba * 100e0) AS integer),
-                   '%\n\nHistorique du fournisseur :\n', d.text,
-                   '\n\nExpliquer le risque en quelques phrases et proposer une action.') AS prompt
+        SELECT po_id, concat('po_id=', po_id, '; risk=', cast(trunc((1e0 - otif_proba) * 100e0) AS integer),
+                   '%; level=', {_risk('1e0 - otif_proba')}, '; otif=', cast(trunc(otif_proba * 100e0) AS integer),
+                   '%\n[documents]\n', d.text,
+                   '\n[task]\nWhich of these figures drives the risk, and what should be done first?') AS prompt
         FROM scored s LEFT JOIN docs d ON s.supplier_id = d.id""",
     "chat_prompts": """
-        SELECT q.question_id, concat('Question : ', q.text, '\n\nContexte :\n', replace(f.docs, '{sep}', '\n\n'),
-                                     '\n\nRépondre clairement, à partir du seul contexte.') AS prompt
+        SELECT q.question_id, concat('[question]\n', q.text, '\n[documents]\n', replace(f.docs, '{sep}', '\n\n'),
+                                     '\n[task]\nAnswer from the documents only.') AS prompt
         FROM questions q JOIN fallback f ON q.question_id = f.question_id""",
     "retrieval_evaluation": """
         SELECT round(avg(CASE WHEN length(docs) > 20 THEN 1e0 ELSE 0e0 END), 3) AS retrieval_success_rate,
                count(*) AS n_questions FROM fallback""",
-    "ingest_stream": "SELECT * FROM raw_orders",
+    "ingest_stream": """
+        SELECT * REPLACE (CASE WHEN receipt_date IS NULL THEN 0e0 ELSE received_qty END AS received_qty) FROM raw_orders""",
     "score_stream": _OPEN_SCORES + " WHERE receipt_date IS NULL",
     "pipeline_health": """
         SELECT false AS healthy, 3 AS n_ok, 4 AS n_checks, 'measured' AS drift_status,

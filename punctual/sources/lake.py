@@ -14,13 +14,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_bronze(spark: SparkSession, bronze_folder: str, name: str) -> DataFrame:
-    """One Bronze table; orders that arrived as a stream are part of it."""
+    """One Bronze table; rows that arrived as a stream are part of it, each id once."""
     root = bronze_folder.rstrip("/")
     table = spark.read.parquet(f"{root}/{name}")
-    if path_exists(spark, live_path(root, name)):
-        live = spark.read.parquet(live_path(root, name)).select(table.columns)
-        table = table.unionByName(live)
-    return table
+    if not path_exists(spark, live_path(root, name)):
+        return table
+    live = spark.read.parquet(live_path(root, name)).select(table.columns)
+    return newest(table, live, LIVE_KEYS[name]) if name in LIVE_KEYS else table.unionByName(live)
+
+
+#: Key of a table that may get a row again, and the column whose value closes it.
+LIVE_KEYS = {"purchase_orders": ("po_id", "receipt_date")}
+
+
+def newest(base: DataFrame, live: DataFrame, key: tuple[str, str]) -> DataFrame:
+    """Base rows with those of ``live`` instead where they have the same id. A closed row
+    beats an open one, a live row one of the base; ties go to the largest row. Only the
+    rows of ids in ``live`` are grouped."""
+    name, closed = key
+    ids = live.select(name).distinct()
+    rest = [c for c in base.columns if c != name]
+    rank = [F.col(closed).isNotNull().alias("__closed"), F.col("__live"), *rest]
+    again = base.join(ids, name, "left_semi").withColumn("__live", F.lit(False)).unionByName(
+        live.filter(F.col(name).isNotNull()).withColumn("__live", F.lit(True))
+    )
+    chosen = again.groupBy(name).agg(F.max(F.struct(*rank)).alias("__row")).select(
+        name, *[F.col(f"__row.{c}").alias(c) for c in rest]
+    )
+    unnamed = live.filter(F.col(name).isNull())
+    return base.join(ids, name, "left_anti").unionByName(chosen).unionByName(unnamed).select(base.columns)
 
 
 def live_path(bronze_folder: str, name: str) -> str:

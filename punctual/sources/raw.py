@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from punctual.schemas import BRONZE
 
@@ -19,13 +19,25 @@ def read_raw(spark: SparkSession, folder: str, name: str, **options) -> DataFram
 
     The header is the only thing looked at beforehand: columns are read as text
     and cast, so no inference pass over the data is needed, their order in the
-    file does not matter, and a value of the wrong type fails the load.
+    file does not matter, and a value of the wrong type fails the load. Fields may be
+    quoted, with quotes doubled and line breaks inside (``multiLine=False`` lets large
+    files without such breaks be split), and whole numbers may be written as ``10.0``.
     """
+    dialect = {"header": True, "nullValue": "", "quote": '"', "escape": '"', "multiLine": True}
     text = (
-        spark.read.option("header", True).option("nullValue", "").options(**options)
+        spark.read.options(**{**dialect, **options})
         .csv(f"{folder.rstrip('/')}/{name}.csv")
     )
-    return text.select([F.col(c).cast(t).alias(c) for c, t in BRONZE[name].items()])
+    return text.select([_typed(c, t).alias(c) for c, t in BRONZE[name].items()])
+
+
+def _typed(name: str, kind: str) -> Column:
+    value = F.col(name)
+    if kind not in ("int", "bigint"):
+        return value.cast(kind)
+    # Digits are cast as they are: a double would not hold every bigint.
+    plain = F.regexp_replace(F.trim(value), r"\.0*$", "")
+    return plain.cast(kind)
 
 
 def _is_missing(error: AnalysisException) -> bool:

@@ -30,7 +30,7 @@ def load_drift_report(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as error:
         if not (error.getCondition() or "").startswith("PATH_NOT_FOUND"):
             raise
-        return _no_report(spark, "not_measured", "Aucun rapport de dérive : lancer la mesure.")
+        return _no_report(spark, "not_measured", "no report at this path")
     raw = text.filter(F.length(F.trim("value")) > 0).agg(F.max("value").alias("value"))
     kind = F.schema_of_variant(F.try_parse_json("value"))
     parsed = raw.select(
@@ -38,8 +38,8 @@ def load_drift_report(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("ok"),
         F.coalesce(kind.isNotNull(), F.lit(False)).alias("is_json"),
     )
-    bad = F.when(F.col("is_json"), F.lit("Le rapport de dérive n'a pas la forme attendue.")).otherwise(
-        F.lit("Le rapport de dérive est illisible : relancer la mesure.")
+    bad = F.when(F.col("is_json"), F.lit("report is JSON but no object")).otherwise(
+        F.lit("report is not JSON")
     )
     return parsed.select(
         F.when(F.col("ok"), F.col("r.drift_detected")).alias("drift_detected"),

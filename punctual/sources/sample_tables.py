@@ -29,6 +29,7 @@ SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 SPREAD_BYTES = 1 << 20
+UNKNOWN_PART = 1_000_000_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,8 +57,7 @@ def parts_master(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("__supplier"), "s_acctbal"
     )
-    # Every fiftieth part is left out of the master, so that some orders have no part.
-    parts = table(spark, folder, "part").filter("p_partkey % 50 <> 0").withColumn(
+    parts = table(spark, folder, "part").withColumn(
         "__supplier", F.col("p_partkey") % _supplier_count(spark, folder)
     )
     size = F.col("p_size")
@@ -96,7 +96,8 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("po_id"),
         F.col("l_suppkey").cast("string").alias("supplier_id"),
         _site(F.col("c_nationkey")).alias("site_id"),
-        F.col("l_partkey").cast("string").alias("part_id"),
+        # Orders of every fiftieth part name one that the master does not know.
+        (F.col("l_partkey") + F.when(F.col("l_partkey") % 50 == 0, UNKNOWN_PART).otherwise(0)).cast("string").alias("part_id"),
         ordered.alias("order_date"),
         F.date_add(ordered, F.col("p_size")).alias("promised_date"),
         F.when(F.col("l_linestatus") == "F", F.col("l_shipdate").cast("date")).alias("receipt_date"),
