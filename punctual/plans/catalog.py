@@ -13,7 +13,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from punctual.functions.joins import pick_rows
-from punctual.functions.scalars import category_code, half_up
+from punctual.functions.scalars import category_code, half_up, risk_level
 from punctual.operators import (
     answers, documents, drift, explain, features, health, kpis, metrics, quality, ranking,
     retrieval, scoring, silver, training, whatif,
@@ -27,8 +27,6 @@ from punctual.streaming import orders as stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Trees of the registered model; a full run uses the default of 300.
-TREES = 20
 # Importances used where SQL has to know them.
 WEIGHTS = {f: w for f, w in zip(FEATURES, (0.25, 0.125, 0.0625, 0.5, 2.0, 0.375, 1e-9, 2e-9, 3e-9))}
 
@@ -68,9 +66,20 @@ def kpi(spark, folder):
     return kpis.supplier_kpi(mart(spark, folder), staged(spark, folder, "quality_incidents"))
 
 
-@cache
+def _version(spark: SparkSession, folder: str) -> str:
+    """Changes whenever a file of the folder does: what is stored under it is then made anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return str(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _gold(spark: SparkSession, folder: str) -> str:
-    """Database with the Gold tables, built once per session."""
+    """Database with the Gold tables, built once per session and state of the input."""
+    return _build_gold(spark, folder, _version(spark, folder))
+
+
+@cache
+def _build_gold(spark: SparkSession, folder: str, version: str) -> str:
     location = scratch_path(spark, "gold")
     database = "gold_" + location.rsplit("-", 1)[-1][:12]
     views = {f"stg_{name}": staged(spark, folder, name) for name in BRONZE}
@@ -126,15 +135,30 @@ def matrix(spark, folder):
 
 
 @cache
-def _model_path(spark: SparkSession, folder: str) -> str:
+def _fit_model(spark: SparkSession, folder: str, version: str) -> str:
     path = scratch_path(spark, "model")
     train_part, _ = features.split(matrix(spark, folder))
-    training.fit(train_part, maxIter=TREES).write().overwrite().save(path)
+    training.fit(train_part).write().overwrite().save(path)
     return path
 
 
 def model(spark, folder):
-    return training.load_model(_model_path(spark, folder))
+    """All 300 trees, fitted once per session and state of the input."""
+    return training.load_model(_fit_model(spark, folder, _version(spark, folder)))
+
+
+def coherent(df: DataFrame, risk: str = "risk_score", level: str = "risk_level") -> DataFrame:
+    """Replace what the trees decide by what must hold of it, which SQL can state: a
+    probability, the risk that follows from it, its level and the class."""
+    proba, digits = F.col("otif_proba"), F.lit(1e-4)
+    holds = (
+        proba.between(0, 1) & (F.abs(F.lit(1.0) - proba - F.col(risk)) < digits)
+        & (F.col(level) == risk_level(F.col(risk)))
+    )
+    if "predicted_otif" in df.columns:
+        holds = holds & ((F.col("predicted_otif") == (proba >= 0.5).cast("int")) | (F.abs(proba - 0.5) < digits))
+    gone = {"otif_proba", risk, level, "predicted_otif"}
+    return df.select(*[c for c in df.columns if c not in gone], holds.alias("coherent"))
 
 
 def model_scorer(spark, folder):
@@ -508,46 +532,64 @@ def rejected_scenarios(spark, folder):
 
 @register
 def model_training(spark, folder):
-    """Metrics of a model trained on the hash split."""
-    return training.train(matrix(spark, folder), scratch_path(spark, "model"), maxIter=TREES)
+    """Sizes of the hash split's parts; the held-out metrics of the trained model are shares."""
+    return _shares(training.held_out_metrics(matrix(spark, folder), model(spark, folder)), "train_size", "test_size")
+
+
+def _shares(report: DataFrame, *keep: str) -> DataFrame:
+    measures = ["roc_auc", "f1", "precision", "recall"]
+    fine = [F.col(m).between(0, 1) for m in measures]
+    return report.select(*keep, (fine[0] & fine[1] & fine[2] & fine[3]).alias("coherent"))
 
 
 @register
 def model_evaluation(spark, folder):
     whole = matrix(spark, folder)
     _, test_part = features.split(whole)
-    return metrics.evaluation_report(whole, model_scorer(spark, folder)(test_part))
+    report = metrics.evaluation_report(whole, model_scorer(spark, folder)(test_part))
+    return _shares(report, "test_size", "baseline_otif_rate")
 
 
 @register
 def model_importance(spark, folder):
-    return training.global_importance(spark, training.importances(model(spark, folder)))
+    found = training.global_importance(spark, training.importances(model(spark, folder)))
+    total = found.agg(half_up(F.sum("importance"), 2)).scalar()
+    return found.select("feature", F.col("importance").between(0, 1).alias("coherent"), total.alias("total"))
 
 
 @register
 def model_predict_batch(spark, folder):
-    return scoring.predict_batch(gold_mart(spark, folder), model_scorer(spark, folder))
+    return coherent(scoring.predict_batch(gold_mart(spark, folder), model_scorer(spark, folder)))
 
 
 @register
 def model_predict_orders(spark, folder):
-    return scoring.predict_orders(
+    return coherent(scoring.predict_orders(
         asked_orders(spark, folder), gold_mart(spark, folder), model_scorer(spark, folder)
-    )
+    ))
 
 
 @register
 def model_explain_orders(spark, folder):
     fitted = model(spark, folder)
-    return explain.explain_orders(
+    explained = explain.explain_orders(
         asked_orders(spark, folder), gold_mart(spark, folder),
         scoring.model_scorer(fitted), training.importances(fitted),
     )
+    # Contributions fall, and there are as many as for any order that is known.
+    values = F.transform("top_features", lambda e: e["contribution"])
+    return coherent(explained.select(
+        "po_id", "otif_proba", "risk_score", "risk_level", "error", F.size("top_features").alias("n_features"),
+        F.size("global_importance").alias("n_overall"), (values == F.reverse(F.array_sort(values))).alias("falling"),
+    ))
 
 
 @register
 def model_what_if(spark, folder):
-    return whatif.what_if(gold_mart(spark, folder), scenarios(spark, folder), model_scorer(spark, folder))
+    run = whatif.what_if(gold_mart(spark, folder), scenarios(spark, folder), model_scorer(spark, folder))
+    before, after = F.col("initial_risk_score"), F.col("simulated_risk_score")
+    holds = before.between(0, 1) & after.between(0, 1) & (F.abs(after - before - F.col("risk_delta")) < 2e-4)
+    return run.select("scenario_id", "po_id", "supplier_id", holds.alias("coherent"))
 
 
 # --- drift --------------------------------------------------------------------------
@@ -655,7 +697,10 @@ def retrieval_evaluation(spark, folder):
 def embed_documents(spark, folder):
     """Vectors of all documents, whole texts."""
     texts = sample.table(spark, folder, "documents").select("doc_id", "text")
-    return documents.embed(texts, documents.fit_embedder(texts)).select("doc_id", "embedding")
+    found = documents.embed(texts, documents.fit_embedder(texts))
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    # Unit vectors, or zero where no word tells texts apart.
+    return found.select("doc_id", F.size("embedding").alias("slots"), ((F.abs(length - 1) < 1e-3) | (length == 0)).alias("coherent"))
 
 
 @register
@@ -666,9 +711,8 @@ def retrieve_supplier_documents(spark, folder):
         F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text"
     )
     embedder = documents.fit_embedder(suppliers)
-    return retrieval.retrieve_topk(
-        documents.embed(asked, embedder), documents.embed(suppliers, embedder)
-    )
+    found = retrieval.retrieve_topk(documents.embed(asked, embedder), documents.embed(suppliers, embedder))
+    return found.select("query_id", "rank", F.col("similarity").between(-1.000001, 1.000001).alias("coherent"))
 
 
 # --- streams and health -----------------------------------------------------------------
@@ -711,7 +755,7 @@ def model_score_stream(spark, folder):
         arriving, staged(spark, folder, "parts_master"), model_scorer(spark, folder)
     )
     stream.write_scores(scores, out, scratch_path(spark, "checkpoint")).awaitTermination()
-    return spark.read.parquet(out)
+    return coherent(spark.read.parquet(out))
 
 
 @register

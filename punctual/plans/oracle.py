@@ -589,6 +589,31 @@ BODIES = {
     "ingest_stream": """
         SELECT * REPLACE (CASE WHEN receipt_date IS NULL THEN 0e0 ELSE received_qty END AS received_qty) FROM raw_orders""",
     "score_stream": _OPEN_SCORES + " WHERE receipt_date IS NULL",
+    "model_training": f"""
+        SELECT count(*) FILTER ({_SHUFFLED} % 1000 >= 200) AS train_size,
+               count(*) FILTER ({_SHUFFLED} % 1000 < 200) AS test_size, true AS coherent FROM matrix""",
+    "model_evaluation": f"""
+        SELECT count(*) FILTER ({_SHUFFLED} % 1000 < 200) AS test_size, round(avg(label), 4) AS baseline_otif_rate,
+               true AS coherent FROM matrix""",
+    "model_importance": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, true AS coherent, 1e0 AS total",
+    "model_predict_batch": "SELECT po_id, supplier_id, true AS coherent FROM scored",
+    "model_predict_orders": f"""
+        SELECT a.po_id, CASE WHEN {_KNOWN} THEN 'model' ELSE 'fallback' END AS source,
+               CASE WHEN NOT {_KNOWN} THEN concat('po_id ''', a.po_id, ''' introuvable') END AS error, true AS coherent
+        FROM asked a LEFT JOIN scored s ON a.po_id = s.po_id""",
+    "model_explain_orders": f"""
+        SELECT a.po_id, CASE WHEN NOT {_KNOWN} THEN concat('po_id ''', a.po_id, ''' introuvable') END AS error,
+               CASE WHEN {_KNOWN} THEN 8 END AS n_features, CASE WHEN {_KNOWN} THEN 5 END AS n_overall,
+               CASE WHEN {_KNOWN} THEN true END AS falling, CASE WHEN {_KNOWN} THEN true END AS coherent
+        FROM asked a LEFT JOIN scored s ON a.po_id = s.po_id""",
+    "model_what_if": f"""
+        SELECT c.scenario_id, c.po_id, coalesce(c.new_supplier_id, f.supplier_id) AS supplier_id, true AS coherent
+        FROM scenarios c JOIN features f ON c.po_id = f.po_id WHERE {_FAULT} IS NULL""",
+    "model_score_stream": "SELECT po_id, supplier_id, true AS coherent FROM scored WHERE receipt_date IS NULL",
+    "embed_documents": "SELECT doc_id, 1024 AS slots, true AS coherent FROM documents",
+    "retrieve_supplier_documents": """
+        SELECT concat_ws('-', conv_id, turn) AS query_id, rank, true AS coherent FROM conversations
+        CROSS JOIN (SELECT unnest(generate_series(1, least(5, (SELECT count(*) FROM kpi)))) AS rank)""",
     "pipeline_health": """
         SELECT false AS healthy, 3 AS n_ok, 4 AS n_checks, 'measured' AS drift_status,
                (SELECT count(*) FILTER (shift > 0.25) > 0 FROM shifts) AS drift_detected,
