@@ -102,7 +102,7 @@ def plan(sample: np.ndarray, total: int, parts: int = PARTS, most_bits: int = MO
         own = bits[:, group].astype(np.uint64)
         values = (own << np.arange(len(group), dtype=np.uint64)).sum(1, dtype=np.uint64)
         found, counts = np.unique(values, return_counts=True)
-        pairs, probes = float((counts.astype(float) ** 2).sum()) / 2, 1.0
+        pairs, probes = float((counts * (counts - 1.0)).sum()) / 2, 1.0
         if threshold >= 1:
             for bit in range(len(group)):
                 near = np.searchsorted(found, found ^ np.uint64(1 << bit)).clip(max=len(found) - 1)
