@@ -99,3 +99,25 @@ def test_exact_split(spark):
     counts = {(r["label"], r["is_test"]): r["count"] for r in first.groupBy("label", "is_test").count().collect()}
     assert counts == {(1, True): 334, (1, False): 1334, (0, True): 667, (0, False): 2668}
     assert first.exceptAll(second).isEmpty()
+
+
+def test_keys_alone_are_looked_up_once(spark, no_broadcast):
+    keys = ["hot"] * 2000 + [None] * 500 + [f"k{i}" for i in range(500)] + ["absent"]
+    left = spark.createDataFrame([(k,) for k in keys], "k string")
+    right = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 500, 2)]], "k string, v int")
+    for how in ("left", "inner"):
+        got = joins.lookup_join(left, right, "k", how)
+        want = left.join(right, "k", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = joins.lookup_join(left, right, "k")._jdf.queryExecution().optimizedPlan().toString()
+    # The keys are counted below the join and repeated above it.
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
+
+
+def test_a_class_without_a_cut_keeps_its_rows(spark):
+    rows = [(f"a{i}", 1) for i in range(2)] + [(f"b{i}", 0) for i in range(10)] + [("n", None)]
+    df = spark.createDataFrame(rows, "po_id string, label int")
+    got = split_exact(df, test_share=0.8).collect()
+    assert len(got) == 13
+    assert sum(r.is_test for r in got if r.label == 1) == 2
+    assert sum(r.is_test for r in got if r.label == 0) == 8

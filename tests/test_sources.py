@@ -84,3 +84,31 @@ def test_health(spark, tmp_path):
         checks, reports.load_drift_report(spark, str(tmp_path / "d")), reports.read_log(spark, str(tmp_path / "l")))
     row = report.first()
     assert row["healthy"] is False and row["drift"]["status"] == "not_measured" and row["rag"]["total_calls"] == 0
+
+
+def test_csv_dialect(spark, tmp_path):
+    write_csv(tmp_path, "quality_incidents", (
+        "incident_id,incident_date,part_id,supplier_id,site_id,defect_severity,defect_type,scrap_qty\n"
+        'Q1,2024-01-02,"6"" tube, bent",S1,X,Minor,"two\nlines",10.0\n'
+        "Q2,2024-01-03,P,S1,X,Minor,plain,9007199254740993\nQ3,2024-01-03,P,S1,X,Minor,plain,\n"
+    ))
+    rows = {r.incident_id: r for r in raw.read_raw(spark, str(tmp_path), "quality_incidents").collect()}
+    assert len(rows) == 3
+    assert (rows["Q1"].part_id, rows["Q1"].defect_type, rows["Q1"].scrap_qty) == ('6" tube, bent', "two\nlines", 10)
+    assert rows["Q2"].scrap_qty == 9007199254740993 and rows["Q3"].scrap_qty is None
+    write_csv(tmp_path / "bad", "quality_incidents", "incident_id,incident_date,part_id,supplier_id,site_id,"
+              "defect_severity,defect_type,scrap_qty\nQ1,2024-01-02,P,S,X,M,t,10.5\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        raw.read_raw(spark, str(tmp_path / "bad"), "quality_incidents").collect()
+
+
+def test_bronze_has_every_order_once(spark, tmp_path):
+    base = frame(spark, "purchase_orders", order("A", receipt_date=None), order("B"), order("C", receipt_date=None))
+    live = frame(spark, "purchase_orders", order("A"), order("B", receipt_date=None), order("D", receipt_date=None),
+                 order("D"), order("C", receipt_date=None, ordered_qty=7.0))
+    base.write.parquet(str(tmp_path / "purchase_orders"))
+    live.write.parquet(lake.live_path(str(tmp_path), "purchase_orders"))
+    rows = {r.po_id: r for r in lake.read_bronze(spark, str(tmp_path), "purchase_orders").collect()}
+    assert sorted(rows) == ["A", "B", "C", "D"]
+    assert rows["A"].receipt_date and rows["B"].receipt_date and rows["D"].receipt_date
+    assert rows["C"].receipt_date is None and rows["C"].ordered_qty == 7.0
