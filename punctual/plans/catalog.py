@@ -404,7 +404,9 @@ def dq_between(spark, folder):
 
 @register
 def dq_score_in_range(spark, folder):
-    return quality.otif_score_out_of_range(gold_mart(spark, folder))
+    """Fill rates tested as if they were scores of 0.1 to 1.1: full orders are out of range."""
+    shifted = gold_mart(spark, folder).withColumn("otif_score", F.col("fill_rate") + F.lit(0.1))
+    return quality.otif_score_out_of_range(shifted)
 
 
 @register
@@ -415,6 +417,20 @@ def dq_checks(spark, folder):
     )
 
 
+@register
+def quality_gate(spark, folder):
+    """What the gate does on the tests of one model: passes, or stops and says why."""
+    checks = dq_checks(spark, folder)
+    rows = []
+    for model in ("marts_otif_kpi", "marts_supplier_kpi"):
+        try:
+            quality.enforce(checks.filter(F.col("model") == model))
+            rows.append((model, True, None))
+        except quality.QualityGateError as stopped:
+            rows.append((model, False, str(stopped)))
+    return spark.createDataFrame(rows, "model string, passed boolean, reason string")
+
+
 # --- features and metrics ---------------------------------------------------------
 
 @register
@@ -623,6 +639,30 @@ def drift_ks_report(spark, folder):
     )
 
 
+@register
+def drift_between_classes(spark, folder):
+    """Mean shift between parts of class A and all others, which do differ."""
+    marked = gold_mart(spark, folder).filter("criticality_class is not null").withColumn(
+        "is_reference", F.col("criticality_class") == "A"
+    )
+    pops = features.build_features(marked, require_target=False).select("po_id", *FEATURES, "is_reference")
+    return drift.mean_shift(pops).select("feature", half_up(F.col("shift"), 6).alias("shift"), "drifted")
+
+
+@register
+def populations_by_flag(spark, folder):
+    """Sizes of the populations where no receipt date is known, only the delivery flag."""
+    pops = drift.populations(gold_mart(spark, folder).drop("receipt_date"))
+    return pops.groupBy("is_reference").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register
+def populations_by_date(spark, folder):
+    """The same where neither is known: the latest fifth by order date is current."""
+    pops = drift.populations(gold_mart(spark, folder).drop("receipt_date", "is_delivered"))
+    return pops.groupBy("is_reference").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # --- documents and answers ------------------------------------------------------------
 
 @register
@@ -682,6 +722,31 @@ def risk_prompts(spark, folder):
     return answers.risk_prompts(retrieval.lookup_join(scored, texts, "supplier_id"))
 
 
+@register
+def what_if_prompts(spark, folder):
+    """A prompt for every simulated order, with the document of its new supplier."""
+    figures = gold_kpi(spark, folder)
+    run = whatif.what_if(gold_mart(spark, folder), scenarios(spark, folder), fixed_scorer)
+    texts = documents.supplier_documents(figures).select(F.col("id").alias("supplier_id"), F.array("text").alias("docs"))
+    return answers.what_if_prompts(retrieval.lookup_join(run, texts, "supplier_id"))
+
+
+@register
+def retrieve(spark, folder):
+    """Documents for every question: the nearest ones, else the KPI fallback."""
+    figures = gold_kpi(spark, folder)
+    suppliers = documents.supplier_documents(figures)
+    asked = sample.questions(spark, folder)
+    embedder = documents.fit_embedder(suppliers.select("text"))
+    known = F.col("text").rlike(r"(?i)^\s*(pourquoi|supplier)")
+    vectors = documents.embed(asked.withColumn("text", F.coalesce("text", F.lit(""))), embedder)
+    # Only questions about a supplier are searched for; all others have no vector.
+    vectors = vectors.withColumn("embedding", F.when(known, F.col("embedding")))
+    stored_docs = documents.embed(suppliers.select("id", "text"), embedder)
+    found = retrieval.retrieve(vectors, stored_docs, figures)
+    return found.select("question_id", F.size("docs").alias("n_docs"), "source")
+
+
 @register
 def chat_prompts(spark, folder):
     return answers.chat_prompts(retrieval.fallback_documents(sample.questions(spark, folder), gold_kpi(spark, folder)))
@@ -758,6 +823,21 @@ def model_score_stream(spark, folder):
     return coherent(spark.read.parquet(out))
 
 
+@register
+def pipeline_health_complete(spark, folder):
+    """The same with every table and file in place."""
+    database, location = _gold(spark, folder), scratch_path(spark, "health")
+    report = f"{location}/drift"
+    reports.write_report(drift.mean_shift_report(drift.populations(gold_mart(spark, folder))), report)
+    checks = health.health_checks(
+        spark, [f"{database}.marts_otif_kpi", f"{database}.marts_supplier_kpi"], {"drift_report": report}
+    )
+    summary = health.pipeline_health(
+        checks, reports.load_drift_report(spark, report), reports.read_log(spark, f"{location}/log")
+    )
+    return summary.select("healthy", F.size("checks").alias("n_checks"), F.col("drift.status").alias("drift_status"))
+
+
 @register
 def pipeline_health(spark, folder):
     """Health over stored marts, a drift report and a log, all made from the tables."""

@@ -465,7 +465,7 @@ BODIES = {
         WHERE part_id NOT IN (SELECT part_id FROM stg_parts) GROUP BY part_id""",
     "dq_in_set": "SELECT part_id, criticality_class FROM stg_parts WHERE criticality_class NOT IN ('A', 'B')",
     "dq_between": "SELECT po_id, delay_days FROM mart WHERE delay_days NOT BETWEEN -365 AND 365",
-    "dq_score_in_range": "SELECT po_id FROM mart WHERE otif_score < 0 OR otif_score > 1",
+    "dq_score_in_range": "SELECT po_id FROM mart WHERE fill_rate + 0.1e0 < 0 OR fill_rate + 0.1e0 > 1",
     "dq_checks": f"SELECT *, CASE WHEN n_fail > 0 THEN 'fail' ELSE 'pass' END AS status FROM ({_CHECK_ROWS})",
     "category_codes": "SELECT DISTINCT part_family, {part_family} AS code FROM stg_parts",
     "build_features": "SELECT * EXCLUDE (supplier_id, receipt_date) FROM features",
@@ -548,6 +548,22 @@ BODIES = {
                (SELECT count(*) FROM features WHERE receipt_date IS NOT NULL) AS reference_rows,
                (SELECT count(*) FROM features WHERE receipt_date IS NULL) AS current_rows
         FROM distances""",
+    "quality_gate": f"""
+        SELECT m AS model, count(*) FILTER (model = m AND n_fail > 0) = 0 AS passed,
+               string_agg(concat(model, '.', "column", ' ', test, ': ', n_fail), '; ') FILTER (model = m AND n_fail > 0) AS reason
+        FROM ({_CHECK_ROWS}) CROSS JOIN (VALUES ('marts_otif_kpi'), ('marts_supplier_kpi')) AS models(m) GROUP BY m""",
+    "drift_between_classes": """
+        SELECT feature, round(abs(cur - ref) / nullif(abs(ref), 0), 6) AS shift,
+               coalesce(abs(cur - ref) / nullif(abs(ref), 0) > 0.25, false) AS drifted
+        FROM (SELECT feature, avg(value) FILTER (criticality_class = 'A') AS ref,
+                     avg(value) FILTER (criticality_class <> 'A') AS cur
+              FROM long_features JOIN mart USING (po_id) WHERE criticality_class IS NOT NULL GROUP BY feature)""",
+    "populations_by_flag": "SELECT is_delivered AS is_reference, count(*) AS n_rows FROM mart GROUP BY is_delivered",
+    "populations_by_date": """
+        SELECT order_date < (SELECT max(order_date) FROM (
+                   SELECT order_date, sum(count(*)) OVER (ORDER BY order_date DESC) AS upto FROM mart GROUP BY order_date)
+                   WHERE upto >= 0.2e0 * (SELECT count(*) FROM mart)) AS is_reference, count(*) AS n_rows
+        FROM mart GROUP BY 1""",
     "supplier_documents": "SELECT * FROM docs",
     "retrieve_topk": """
         SELECT query_id, doc_id, round(near, 6) AS similarity, rank FROM (
@@ -579,6 +595,24 @@ BODIES = {
                    '%\n[documents]\n', d.text,
                    '\n[task]\nWhich of these figures drives the risk, and what should be done first?') AS prompt
         FROM scored s LEFT JOIN docs d ON s.supplier_id = d.id""",
+    "what_if_prompts": f"""
+        SELECT scenario_id, concat('po_id=', po_id, '; supplier=', w.supplier_id,
+                   '; risk_before=', cast(trunc(before * 100e0) AS integer),
+                   '%; risk_after=', cast(trunc(after * 100e0) AS integer), '%; level=', {_risk('raw_after')},
+                   '\n[documents]\n', coalesce(d.text, 'Pas de contexte disponible.'),
+                   '\n[task]\nIs the change worth making?') AS prompt
+        FROM (SELECT c.scenario_id, c.po_id, coalesce(c.new_supplier_id, f.supplier_id) AS supplier_id,
+                     round(1e0 - {PROBA}, 4) AS before,
+                     1e0 - 1e0 / (1e0 + coalesce(new_lead_time, standard_lead_time_days) / 20e0
+                                  + coalesce(new_quantity, ordered_qty) / 100e0) AS raw_after,
+                     round(raw_after, 4) AS after
+              FROM scenarios c JOIN features f ON c.po_id = f.po_id WHERE {_FAULT} IS NULL) w
+        LEFT JOIN docs d ON w.supplier_id = d.id""",
+    "retrieve": """
+        SELECT question_id, CASE WHEN near THEN 5 WHEN supplier_id IS NOT NULL THEN 1 ELSE 5 END AS n_docs,
+               CASE WHEN near THEN 'nearest' ELSE 'fallback' END AS source
+        FROM (SELECT question_id, supplier_id, coalesce(regexp_matches(text, '(?i)^\\s*(pourquoi|supplier)'), false) AS near
+              FROM routed)""",
     "chat_prompts": """
         SELECT q.question_id, concat('[question]\n', q.text, '\n[documents]\n', replace(f.docs, '{sep}', '\n\n'),
                                      '\n[task]\nAnswer from the documents only.') AS prompt
@@ -614,6 +648,7 @@ BODIES = {
     "retrieve_supplier_documents": """
         SELECT concat_ws('-', conv_id, turn) AS query_id, rank, true AS coherent FROM conversations
         CROSS JOIN (SELECT unnest(generate_series(1, least(5, (SELECT count(*) FROM kpi)))) AS rank)""",
+    "pipeline_health_complete": "SELECT true AS healthy, 3 AS n_checks, 'measured' AS drift_status",
     "pipeline_health": """
         SELECT false AS healthy, 3 AS n_ok, 4 AS n_checks, 'measured' AS drift_status,
                (SELECT count(*) FILTER (shift > 0.25) > 0 FROM shifts) AS drift_detected,
