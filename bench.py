@@ -32,9 +32,11 @@ def main() -> None:
     })
     spark.sparkContext.setLogLevel("ERROR")
     catalog.QUERIES["global_kpi"](spark, folder).collect()  # start the engine before timing
-    catalog.model(spark, folder)  # model_predict_batch is about scoring
-    catalog._gold.cache_clear()  # marts_otif_kpi, the first query, builds the marts
-    seconds = {}
+    # Fitting the trees is a step of its own, so that the model queries are about scoring.
+    start = time.perf_counter()
+    catalog.model(spark, folder)
+    seconds = {"model_fit": round(time.perf_counter() - start, 3)}
+    catalog._build_gold.cache_clear()  # marts_otif_kpi, the first query, builds the marts
     for name in HEADLINE:
         start = time.perf_counter()
         # Every row is computed, none is kept.
@@ -42,7 +44,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({
-        "metric": "total time of the headline queries",
+        "metric": "total time of the headline queries and of fitting the model once before",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
