@@ -11,7 +11,7 @@ import zstandard
 from punctual.llm.common import slices
 
 #: Text of a chunk.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def numbers_out(values: np.ndarray, size: int = 8) -> bytes:

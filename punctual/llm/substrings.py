@@ -47,7 +47,7 @@ LENGTH = 200
 ANCHOR = 80
 HOT = 50_000
 #: Text per hash range.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -83,7 +83,7 @@ class Shard:
         self.length = length
         found = []
         # In steps, so that the arrays of a very long text stay bounded.
-        step = 4 << 20
+        step = 1 << 20
         for at in range(0, max(len(self.data) - length + 1, 0), step):
             found.append(self._strings(at, min(at + step, len(self.data) - length + 1), anchor))
         joined = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64), np.zeros(0, np.int64)]
@@ -113,7 +113,8 @@ class Shard:
         new = np.append(True, (own[1:] != own[:-1]) | (np.diff(window) != 1))
         first = window[new]
         last = window[np.append(np.flatnonzero(new)[1:], len(window)) - 1]
-        return first + low, last + low + self.length, hashes[own[new]], own[new] - first
+        # Anchors have small hashes; mixed again, they fill all ranges alike.
+        return first + low, last + low + self.length, mixed(hashes[own[new]] + MULTIPLIER), own[new] - first
 
 
 def merge(strings: list[bytes], anchors: np.ndarray, places: np.ndarray, copies: np.ndarray, length: int) -> list[np.ndarray]:
