@@ -30,7 +30,7 @@ CAPACITY = 1024
 #: Largest piece of a rest: with several pieces to a window, windows come out near-equal.
 PIECE = 256
 #: Pieces that meet in one group, on average.
-GROUP = 1024
+GROUP = 512
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 
 

@@ -49,10 +49,10 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.space = self.letters[32]
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, list[int]] = {}
         self.places: dict[str, int] = {}
         self.flat = array("I")
         self.ends = array("q", [0])
@@ -60,25 +60,27 @@ class Tokens:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            parts = self.merge(word.encode().decode("latin-1").translate(self.letters))
-            ids = self.words[word] = [part.id for part in parts]
-        return ids
-
-    def cut(self, text: str) -> list[str]:
-        if text.isalpha() or text[:1] == " " and text[1:].isalpha():
-            return [text]
-        return WORDS.findall(text)
+    def merged(self, word: str) -> list[int]:
+        rest = word.removeprefix(" ")
+        if rest.isascii() and rest.isprintable():
+            shown = self.space + rest if len(rest) < len(word) else rest
+        else:
+            shown = word.encode().decode("latin-1").translate(self.letters)
+        return [part.id for part in self.merge(shown)]
 
     def learn(self, piece: str) -> int:
         """The place of a new piece, or -1 where only the whole text tells its ids."""
         bare = piece[:1] == BARE
         place = -1
         if piece == "\n" or len(piece) > bare and not BLANK.search(piece, bare):
-            for word in self.cut(piece[1:] if bare else piece if piece == "\n" else " " + piece):
-                self.flat.extend(self.word(word))
+            text = piece[1:] if bare else piece if piece == "\n" else " " + piece
+            words = [text] if piece.isalpha() else WORDS.findall(text)
+            if len(words) == 1:
+                self.flat.extend(self.merged(text))
+            else:
+                keys = [w[1:] if w[0] == " " else BARE + w for w in words]
+                for own in [self.places[k] if k in self.places else self.learn(k) for k in keys]:
+                    self.flat.extend(self.flat[self.ends[own] : self.ends[own + 1]])
             place = len(self.ends) - 1
             self.ends.append(len(self.flat))
         self.places[piece] = place
@@ -87,7 +89,7 @@ class Tokens:
     def encode(self, texts: pa.Array, end: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), each with ``end`` after it, and the number of
         ids of each."""
-        if len(self.places) > CACHE_PIECES or len(self.words) > CACHE_PIECES:
+        if len(self.places) > CACHE_PIECES:
             self.forget()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         marked = pc.replace_substring(texts, "\n", " \n " + BARE)
