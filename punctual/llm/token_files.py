@@ -37,7 +37,7 @@ from punctual.llm.tokens import tokens
 MARK = b"EFTOKEN1"
 SAMPLE = 512
 #: Ids per file: bounds what a task holds when it writes or reads one.
-FILE_IDS = 4_000_000
+FILE_IDS = 2_000_000
 MANIFEST = "file string, part int, seq int, documents long, ids long"
 
 
