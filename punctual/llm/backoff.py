@@ -36,6 +36,9 @@ ORDER = 3
 ALPHA = 0.4
 #: N-grams of a hash range on average (before equal ones are merged).
 RANGE_NGRAMS = 2_000_000
+HASH_BITS = np.uint64(~0xFF & (1 << 64) - 1)
+#: No n-gram has hash zero.
+LEAST_HASH = np.uint64(0x100)
 
 
 class Chunk:
@@ -45,10 +48,12 @@ class Chunk:
     def __init__(self, texts: list[str | None], order: int):
         self.words = Words([(t or "").encode() for t in texts])
         text, n = self.words.text, len(self.words.first)
-        self.by_order = [mixed(self.words.hash ^ np.uint64(1))]
+        # 55 bits of each hash are kept and sent: an n-gram shares its hash with one of n others with
+        # a chance of n / 2**55.
+        self.by_order = [mixed(self.words.hash ^ np.uint64(1)) & HASH_BITS | LEAST_HASH]
         for k in range(1, order):
             grams = np.zeros(n, np.uint64)
-            longer = mixed(self.by_order[k - 1][:-1] * MULTIPLIER + self.words.hash[1:]) | np.uint64(1)
+            longer = mixed(self.by_order[k - 1][:-1] * MULTIPLIER + self.words.hash[1:]) & HASH_BITS | LEAST_HASH
             whole = np.zeros(n, bool)
             whole[k:] = text[k:] == text[: n - k] if n > k else False
             grams[1:] = longer
