@@ -1,9 +1,9 @@
 """Repeated passages removed by sliding spans of sentences.
 
 A text is cut into sentences (at line breaks, and after ``.``, ``!`` or ``?`` before white
-space). From every sentence the shortest run that begins there, and to every sentence the
-shortest that ends there, with ``sentences`` sentences and ``words`` words at least, is hashed;
-a sentence of ``long_words`` words is a run by itself. Runs with equal hashes (96 bits) anywhere
+space). Every run of ``sentences`` consecutive sentences is hashed, however short they are (longer
+runs are covered by these); a sentence of ``long_words`` words is a run by itself. With a floor of
+``words`` words, off by default, the shortest runs that reach it from and to every sentence are hashed. Runs with equal hashes (96 bits) anywhere
 in the table are one span; its first occurrence, by ``doc_id`` and place, stays. Every sentence
 covered by an occurrence that is not the first is removed with the white space after it.
 
@@ -11,7 +11,7 @@ Runs that occur once leave the job early: counts are added up before the shuffle
 with a count above one are joined back to their places.
 
 Nulls and edges: a null text stays null, an empty one empty; neither has sentences. Texts of
-fewer sentences or words than a run have none. Rows equal in ``doc_id`` and text are one
+fewer sentences than a run have none. Rows equal in ``doc_id`` and text are one
 document: no repeat of one another, treated alike. A null ``doc_id`` comes after all others.
 A table without rows gives none. Other columns are kept; names that begin with two underscores
 are the operator's own.
@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from punctual.llm.common import slices, stored
 
 SENTENCES = 2
-WORDS = 20
+#: No floor: a repeated run of short sentences is a repeat as well.
+WORDS = 0
 LONG_WORDS = 40
 BREAK = re.compile(r"\n+|(?<=[.!?])\s+")
 RUNS = "hash long, check int, doc_id long, row long, pos int, size int"

@@ -441,6 +441,14 @@ def test_sentence_spans(docs):
     assert PASSAGE in got[2, TEXTS[1][1]].text and not set(got[3, TEXTS[2][1]].text.split(". ")) & set(PASSAGE.split(". ")[1:-1])
 
 
+def test_short_sentences_are_runs_too(spark):
+    texts = [(1, "One two. Three four. Alone here."), (2, "Else. One two. Three four."), (3, "One two. Other end.\nAlone here.")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r["__kept"].n_removed) for r in sentence_spans.remove_repeats(df).collect()}
+    assert got == {1: (texts[0][1], 0), 2: ("Else. ", 2), 3: (texts[2][1], 0)}
+    assert [r[:2] for r in sentence_spans.runs(prose(5, 9))] == [(i, 2) for i in range(8)]
+
+
 def test_no_sentence_spans(none):
     assert rows(sentence_spans.remove_repeats(none)) == []
 
