@@ -4,7 +4,8 @@ Reference points (pivots) are chosen from a bounded sample of the vectors, each
 from those before it. A vector is described by its ``NEAREST`` pivots in order of distance and
 listed under each of them. Two vectors are candidates if they share ``SHARED`` pivots or more;
 they meet in the list of the lowest pivot they share, are counted there once, and verified by
-cosine in double precision. A list is cut into blocks of ``BLOCK`` vectors, and pairs of blocks
+cosine in double precision. Vectors of a length for which the sample gives fewer than ``NEAREST``
+pivots are one list, each pair of which is a candidate. A list is cut into blocks of ``BLOCK`` vectors, and pairs of blocks
 are compared as matrices: no pair leaves its task, only link counts and the links of a forest.
 
 Vectors that agree in every component are one entry with a number of copies. Only the pivots
@@ -69,7 +70,7 @@ def _describe(pivots: dict[int, np.ndarray]):
             for size in set((ends - starts).tolist()):
                 rows = np.flatnonzero(ends - starts == size)
                 if size not in pivots:
-                    # Lengths that the sample lacks are rare: one list for each.
+                    # Lengths without pivots enough are rare: one list for each, compared exactly.
                     for r in rows.tolist():
                         out[r] = [-size]
                     continue
@@ -149,6 +150,8 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, pivots: int = PIVO
     chosen = {
         size: far_apart(np.array([v for v in taken if len(v) == size]), pivots) for size in {len(v) for v in taken}
     }
+    # Of fewer pivots every vector would list all, and of one alone no pair would share SHARED.
+    chosen = {size: own for size, own in chosen.items() if len(own) >= NEAREST}
     describe = F.arrow_udf(_describe(chosen), "array<int>")
     listed = stored(
         entries.withColumn("near", describe("embedding")), "described"

@@ -326,6 +326,21 @@ def test_vectors(spark):
     assert rows(pivots.near_duplicates(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("sampled", [1, 2, 5])
+def test_vectors_of_a_rare_length(spark, sampled):
+    make = np.random.default_rng(8)
+    base = make.normal(size=3)
+    vectors = [(i, make.normal(size=16).astype(np.float32).tolist()) for i in range(40)]
+    vectors += [(40 + i, (base + make.normal(size=3) * 0.05).astype(np.float32).tolist()) for i in range(6)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    # The sample ends with the rare length's vector number ``sampled``.
+    codes = df.select("vec_id", F.xxhash64(F.col("embedding").cast("array<double>")).alias("code")).orderBy("code").collect()
+    last = [n for n, r in enumerate(codes) if r.vec_id >= 40][sampled - 1]
+    want = brute_links(vectors)
+    assert sum(r[1] for r in want if r[0] >= 40) == 30
+    assert rows(pivots.near_duplicates(df, sample=last + 1).select("vec_id", "n_links", "component_id")) == want
+
+
 # --- toxicity ----------------------------------------------------------------
 def test_grammar_matches_clauses():
     import pyarrow as pa
