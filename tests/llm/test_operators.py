@@ -414,6 +414,35 @@ def test_licenses(spark, none):
     assert rows(licenses.scan(none.withColumn("path", F.lit("a/b")), ["doc_id"])) == []
 
 
+def test_licenses_in_other_forms(spark):
+    gnu = "#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\n#\n"
+    code = "x = 1\n\n" + prose(11) + "\n\n"
+    want = [
+        ("MIT", "Licensed under the MIT license"), ("MIT", "MIT License"), ("MIT", "// SPDX-License-Identifier: MIT"),
+        ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+        ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"), ("CC-BY-ND-4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"),
+        ("GPL-1.0-or-later", "GNU GENERAL PUBLIC LICENSE"), ("GPL-3.0", gnu.format("", 3)), ("GPL-2.0", gnu.format("", 2)),
+        ("LGPL-3.0", gnu.format("Lesser ", 3)), ("AGPL-3.0", gnu.format("Affero ", 3)),
+        ("GPL-1.0-or-later", "it under the terms of the GNU General Public License as published by"),
+        ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"),
+        (None, "SPDX-License-Identifier: Foo-3.0"), (None, "Copyright 2020 the authors"), (None, "Please see the license for details"),
+        (None, "he lost his driving license in May"), (None, "Licensed under the Frobnicate License, Version 7"),
+    ]
+    named = sorted(licenses.texts().items())
+    files = [(f"src/{n}.txt", code + t + "\n\n" + prose(n)) for n, (_, t) in enumerate(want)]
+    # Copies of the whole texts, with other line breaks and without the title; below each a file of its own.
+    files += [(f"{k}/COPYING", "Some Project, 2020 Some Body\n" + " ".join(t.split()[12:])) for k, t in named]
+    files += [(f"{k}/a/x.txt", prose(3)) for k, t in named]
+    files += [("own/LICENSE", prose(12)), ("own/NOTICE", None), ("own/x.txt", prose(13))]
+    df = spark.createDataFrame([(n, p, t) for n, (p, t) in enumerate(files)], "n long, path string, text string")
+    got = [(r.license, r.origin) for r in licenses.scan(df, ["n"]).orderBy("n").collect()]
+    k = len(want)
+    assert got[:k] == [(name, "header" if name else "none") for name, _ in want]
+    assert got[k : k + len(named)] == [(name, "header") for name, _ in named]
+    assert got[k + len(named) : -3] == [(name, "inherited") for name, _ in named]
+    assert got[-3:] == [(None, "none")] * 3
+
+
 # --- sentence spans ----------------------------------------------------------
 def brute_spans(texts, least=2, words=20, long_words=40):
     cuts, seen = {}, {}
