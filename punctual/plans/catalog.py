@@ -738,13 +738,13 @@ def retrieve(spark, folder):
     suppliers = documents.supplier_documents(figures)
     asked = sample.questions(spark, folder)
     embedder = documents.fit_embedder(suppliers.select("text"))
-    known = F.col("text").rlike(r"(?i)^\s*(pourquoi|supplier)")
-    vectors = documents.embed(asked.withColumn("text", F.coalesce("text", F.lit(""))), embedder)
-    # Only questions about a supplier are searched for; all others have no vector.
-    vectors = vectors.withColumn("embedding", F.when(known, F.col("embedding")))
+    # Each text is searched for once, however many questions repeat it.
+    asked = asked.withColumn("text", F.coalesce("text", F.lit("")))
+    texts = asked.select("text").distinct().withColumn("question_id", F.col("text"))
     stored_docs = documents.embed(suppliers.select("id", "text"), embedder)
-    found = retrieval.retrieve(vectors, stored_docs, figures)
-    return found.select("question_id", F.size("docs").alias("n_docs"), "source")
+    found = retrieval.retrieve(documents.embed(texts, embedder), stored_docs, figures)
+    found = retrieval.lookup_join(asked, found.select("text", "docs", "source"), "text")
+    return found.select("question_id", F.size("docs").alias("n_docs"), "source", F.array_join("docs", "\n").alias("docs"))
 
 
 @register
