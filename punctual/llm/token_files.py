@@ -5,6 +5,7 @@ files of bounded size; ``read_documents`` gives them back per document. A file h
 an 8-byte mark and a JSON header with its length in 4 bytes:
 
 * the ids, back to back, 2 bytes each where the vocabulary fits, else 4 (little-endian);
+  an id that does not fit raises an error;
 * the Elias-Fano code of the positions at which documents end, and one of the ``doc_id``;
 * which documents had no ``doc_id`` (they come first, as Spark sorts nulls).
 
@@ -38,6 +39,8 @@ MARK = b"EFTOKEN1"
 SAMPLE = 512
 #: Ids per file: bounds what a task holds when it writes or reads one.
 FILE_IDS = 2_000_000
+#: Text encoded at once: about thirty bytes of index for each of its words.
+SLICE_BYTES = 3 << 20
 MANIFEST = "file string, part int, seq int, documents long, ids long"
 
 
@@ -97,18 +100,24 @@ class EliasFano:
         return cls(n, low_bits, *(np.frombuffer(b, t) for b, t in zip(blocks, ("u1", "u1", "<u4"))))
 
 
-def pack_file(ids: np.ndarray, lengths: np.ndarray, keys: list[int | None], width: int) -> bytes:
-    """The bytes of one file; ``keys`` are the documents' ids, ascending, nulls first."""
+def pack_file(ids: np.ndarray | list[np.ndarray], lengths: np.ndarray, keys: list[int | None],
+              width: int) -> list[bytes | memoryview]:
+    """The parts of one file, to be written one after the other; ``keys`` are the documents'
+    ids, ascending, nulls first."""
+    runs = [ids] if isinstance(ids, np.ndarray) else ids
+    if any(len(run) and int(run.max()) >> (8 * width) for run in runs):
+        raise ValueError(f"an id does not fit into {width} bytes")
     missing = sum(k is None for k in keys)
     base = keys[missing] if missing < len(keys) else 0
     ends = EliasFano.of(np.cumsum(lengths))
     own = EliasFano.of(np.array([k - base for k in keys[missing:]], np.uint64))
-    blocks = [ids.astype(f"<u{width}").tobytes(), *ends.blocks(), *own.blocks()]
+    blocks = [*ends.blocks(), *own.blocks()]
+    flat = [memoryview(run.astype(f"<u{width}", copy=False)).cast("B") for run in runs if len(run)]
     header = json.dumps({
         "width": width, "documents": len(keys), "without_id": missing, "base": base,
-        "low_bits": [ends.low_bits, own.low_bits], "blocks": [len(b) for b in blocks],
+        "low_bits": [ends.low_bits, own.low_bits], "blocks": [sum(map(len, flat)), *map(len, blocks)],
     }).encode()
-    return b"".join([MARK, len(header).to_bytes(4, "little"), header, *blocks])
+    return [MARK, len(header).to_bytes(4, "little"), header, *flat, *blocks]
 
 
 class TokenFile:
@@ -139,23 +148,25 @@ class TokenFile:
         return [None] * self.missing + [self.base + int(k) for k in self.keys.all()]
 
 
-def _put(folder: str, name: str, data: bytes) -> None:
+def _put(folder: str, name: str, parts: list[bytes | memoryview]) -> None:
     """Under another name first: a task that is run again, or twice at once, leaves the same
     whole file."""
     store, root = fs.FileSystem.from_uri(folder)
     part = posixpath.join(root, f"_{uuid.uuid4().hex}")
     with store.open_output_stream(part) as out:
-        out.write(data)
+        for data in parts:
+            out.write(data)
     store.move(part, posixpath.join(root, name))
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, width: int = 2,
+def write_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, width: int | None = None,
                 file_ids: int = FILE_IDS, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the documents' ids below ``folder`` (shared by all executors) and return the
     stored manifest: one row per file in order, with its number of documents and ids.
 
     The rows are dealt out by ranges of ``doc_id`` (and the text's hash, so that one id with
-    very many rows is spread too), sorted, encoded and written as they come by.
+    very many rows is spread too), sorted, encoded and written as they come by. Without a
+    ``width`` an id takes 2 bytes if all ids of the vocabulary fit, else 4.
     """
     spark = docs.sparkSession
     order = [F.col("doc_id"), F.xxhash64("text")]
@@ -167,12 +178,13 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, widt
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = tokens(tokenizer), TaskContext.get().partitionId(), 0
+        size = width or (2 if max(coder.largest, end) < 1 << 16 else 4)
         ids, lengths, keys, held = [], [], [], 0
 
         def flush():
             nonlocal ids, lengths, keys, held, seq
             name = f"tokens-{part:06d}-{seq:06d}.bin"
-            _put(folder, name, pack_file(np.concatenate(ids), np.concatenate(lengths), keys, width))
+            _put(folder, name, pack_file(ids, np.concatenate(lengths), keys, size))
             row = [[name], [part], [seq], [len(keys)], [held]]
             types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             names = ["file", "part", "seq", "documents", "ids"]
@@ -180,8 +192,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, end: int = 0, widt
             ids, lengths, keys, held, seq = [], [], [], 0, seq + 1
             return out
 
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=SLICE_BYTES):
             own, sizes = coder.encode(batch.column("text"), end)
+            if not own.max() >> (8 * size):
+                own = own.astype(f"<u{size}")
             ids.append(own)
             lengths.append(sizes)
             keys += batch.column("doc_id").to_pylist()

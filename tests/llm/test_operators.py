@@ -62,16 +62,23 @@ def rows(df):
 
 
 # --- tokens ------------------------------------------------------------------
-def test_pieces_give_the_tokenizers_ids():
+@pytest.mark.parametrize("table_bytes", [0, 20_000, 1 << 26])
+def test_pieces_give_the_tokenizers_ids(table_bytes):
     import pyarrow as pa
 
-    coder, pick = Tokens(BPE), random.Random(3)
-    odd = ["".join(pick.choice(" \n\t\ra1!é ' Ċ") for _ in range(pick.randint(0, 9))) for _ in range(2000)]
+    coder, pick = Tokens(BPE, table_bytes), random.Random(3)
+    odd = ["".join(pick.choice(" \n\t\ra1!é ' Ċ") for _ in range(pick.randint(0, 9))) for _ in range(2000)]
     texts = [t or "" for _, t in TEXTS] + odd
-    ids, sizes = coder.encode(pa.array([*texts, None]))
-    ends = np.cumsum(sizes)
-    for text, a, b in zip([*texts, ""], ends - sizes, ends):
-        assert ids[a:b].tolist() == [*coder.whole(text), 0], text
+    pick.shuffle(texts)
+    # Several calls, so that pieces are met again after a half of the table went.
+    for at in range(0, len(texts), 300):
+        some = [*texts[at : at + 300], None]
+        ids, sizes = coder.encode(pa.array(some))
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(some, ends - sizes, ends):
+            assert ids[a:b].tolist() == [*coder.whole(text or ""), 0], text
+        assert (coder.count(pa.array(some)) == sizes - 1).all()
+    assert len(coder.count(pa.array([], pa.string()))) == 0
 
 
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], list(range(3000)), [0, 1 << 60], [3, 3, 900, 900, 1 << 40]])
@@ -105,13 +112,21 @@ def test_token_files(spark, docs):
 
 def test_token_file_gives_single_documents():
     ids, sizes, keys = np.arange(10), np.array([3, 0, 7]), [None, -5, 70]
-    one = token_files.TokenFile(token_files.pack_file(ids, sizes, keys, 2))
+    one = token_files.TokenFile(b"".join(token_files.pack_file(ids, sizes, keys, 2)))
     assert one.doc_ids() == keys == [one.doc_id(i) for i in range(3)]
     assert [one.document(i).tolist() for i in range(3)] == [[0, 1, 2], [], list(range(3, 10))]
     with pytest.raises(ValueError):
         token_files.TokenFile(b"something else")
 
 
+def test_ids_that_do_not_fit_raise_an_error():
+    ids = np.array([1, 70_000])
+    with pytest.raises(ValueError):
+        token_files.pack_file(ids, np.array([2]), [1], 2)
+    one = token_files.TokenFile(b"".join(token_files.pack_file(ids, np.array([2]), [1], 4)))
+    assert one.document(0).tolist() == [1, 70_000]
+
+
 def test_no_token_files(none):
     assert rows(token_files.encode_to_files(none, BPE)) == []
 
