@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from punctual.llm import backoff, decontamination, licenses, merkle, packing, pivots, sentence_spans, simhash, substrings, token_counts, token_files, toxicity
+from punctual.llm import backoff, decontamination, licenses, merkle, packing, pivots, sentence_spans, simhash, substrings, token_counts, token_files, toxicity, whitening
 from punctual.llm.common import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.score(read(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read(spark, sf_dir, "documents"))
 
@@ -77,5 +81,5 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_substrings, op4_simhash, op5_pivots, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing, op10_backoff, op12_merkle, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_substrings, op4_simhash, op5_pivots, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing, op10_backoff, op11_whitening, op12_merkle, op13_token_counts)}
 SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
