@@ -70,7 +70,7 @@ def build_index(spark: SparkSession, database: str, embedder_path: str) -> None:
     lake.write_gold(documents.supplier_documents(kpi), "supplier_documents", database)
     texts = lake.read_gold(spark, "supplier_documents", database).select("id", "text")
     embedder = documents.fit_embedder(texts)
-    embedder.write().overwrite().save(embedder_path)
+    embedder.save(spark, embedder_path)
     lake.write_gold(documents.embed(texts, embedder), "supplier_vectors", database)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from punctual.functions.joins import pick_rows
 from punctual.functions.scalars import category_code, half_up, risk_level
@@ -258,8 +258,11 @@ def stg_supply_chain_history(spark, folder):
 
 @register
 def deduplicate(spark, folder):
-    """One order per supplier and part."""
-    return silver.deduplicate(staged(spark, folder, "purchase_orders"), "supplier_id", "part_id")
+    """Orders delivered twice, received ones a third time under another site name that sorts
+    first: one row per order."""
+    orders = staged(spark, folder, "purchase_orders")
+    renamed = orders.filter("receipt_date is not null").withColumn("site_id", F.concat(F.lit("A-"), "site_id"))
+    return silver.deduplicate(orders.unionByName(orders).unionByName(renamed), "po_id")
 
 
 # --- gold -----------------------------------------------------------------------
@@ -516,17 +519,24 @@ def predict_orders(spark, folder):
 
 @register
 def explain_orders(spark, folder):
-    """The first contribution stands for the list, which local_contributions covers."""
+    """Whole explanations, one row for each of an order's own and of the overall features."""
     explained = explain.explain_orders(
         asked_orders(spark, folder), gold_mart(spark, folder), fixed_scorer, WEIGHTS
     )
-    return explained.select(
-        "po_id", "risk_score", "risk_level", "otif_proba", "summary", "error",
-        F.size("top_features").alias("n_features"),
-        F.get("top_features", 0)["feature"].alias("first_feature"),
-        F.get("top_features", 0)["contribution"].alias("first_contribution"),
-        F.get("global_importance", 0)["feature"].alias("first_overall"),
+
+    def entry(kind, weight):
+        return lambda e, i: F.struct(
+            F.lit(kind).alias("kind"), (i + 1).alias("rank"), e["feature"].alias("feature"),
+            (e["value"] if kind == "order" else F.lit(None).cast("double")).alias("value"), e[weight].alias("weight"),
+        )
+
+    entries = F.concat(
+        F.transform("top_features", entry("order", "contribution")),
+        F.transform("global_importance", entry("overall", "importance")),
     )
+    return explained.select(
+        "po_id", "risk_score", "risk_level", "otif_proba", "summary", "error", F.explode_outer(entries).alias("entry")
+    ).select("po_id", "risk_score", "risk_level", "otif_proba", "summary", "error", "entry.*")
 
 
 @register
@@ -568,9 +578,19 @@ def model_evaluation(spark, folder):
 
 @register
 def model_importance(spark, folder):
+    """Ranks of the trees' importances: shares of a known feature each, falling, one in total."""
     found = training.global_importance(spark, training.importances(model(spark, folder)))
-    total = found.agg(half_up(F.sum("importance"), 2)).scalar()
-    return found.select("feature", F.col("importance").between(0, 1).alias("coherent"), total.alias("total"))
+    falling = F.col("importance") <= F.coalesce(F.lag("importance").over(Window.orderBy("rank")), F.lit(1.0))
+    share = F.col("importance").between(0, 1) & F.col("feature").isin(FEATURES)
+    return found.select("rank", (share & falling).alias("coherent"), found.agg(half_up(F.sum("importance"), 2)).scalar().alias("total"))
+
+
+@register
+def importance_ranking(spark, folder):
+    """The five features that contribute most over all orders, by mean contribution."""
+    table = features.build_features(gold_mart(spark, folder), require_target=False)
+    means = table.agg(*[F.avg(F.abs(F.col(f).cast("double")) * F.lit(WEIGHTS[f])).alias(f) for f in FEATURES]).first()
+    return training.global_importance(spark, {f: means[f] or 0.0 for f in FEATURES}, 5)
 
 
 @register
@@ -731,31 +751,33 @@ def what_if_prompts(spark, folder):
     return answers.what_if_prompts(retrieval.lookup_join(run, texts, "supplier_id"))
 
 
+def retrieved(spark, folder):
+    """question_id, text, docs, source. Each text is searched for once, however many questions repeat it."""
+    figures = gold_kpi(spark, folder)
+    suppliers = documents.supplier_documents(figures).select("id", "text")
+    asked = sample.questions(spark, folder).withColumn("text", F.coalesce("text", F.lit("")))
+    embedder = documents.fit_embedder(suppliers)
+    texts = asked.select("text").distinct().withColumn("question_id", F.col("text"))
+    found = retrieval.retrieve(documents.embed(texts, embedder), documents.embed(suppliers, embedder), figures)
+    return retrieval.lookup_join(asked, found.select("text", "docs", "source"), "text")
+
+
 @register
 def retrieve(spark, folder):
     """Documents for every question: the nearest ones, else the KPI fallback."""
-    figures = gold_kpi(spark, folder)
-    suppliers = documents.supplier_documents(figures)
-    asked = sample.questions(spark, folder)
-    embedder = documents.fit_embedder(suppliers.select("text"))
-    # Each text is searched for once, however many questions repeat it.
-    asked = asked.withColumn("text", F.coalesce("text", F.lit("")))
-    texts = asked.select("text").distinct().withColumn("question_id", F.col("text"))
-    stored_docs = documents.embed(suppliers.select("id", "text"), embedder)
-    found = retrieval.retrieve(documents.embed(texts, embedder), stored_docs, figures)
-    found = retrieval.lookup_join(asked, found.select("text", "docs", "source"), "text")
+    found = retrieved(spark, folder)
     return found.select("question_id", F.size("docs").alias("n_docs"), "source", F.array_join("docs", "\n").alias("docs"))
 
 
 @register
 def chat_prompts(spark, folder):
-    return answers.chat_prompts(retrieval.fallback_documents(sample.questions(spark, folder), gold_kpi(spark, folder)))
+    """A prompt for every question with the documents found for it."""
+    return answers.chat_prompts(retrieved(spark, folder))
 
 
 @register
 def retrieval_evaluation(spark, folder):
-    found = retrieval.fallback_documents(sample.questions(spark, folder), gold_kpi(spark, folder), 3)
-    return retrieval.retrieval_success(retrieval.retrieval_samples(found))
+    return retrieval.retrieval_success(retrieval.retrieval_samples(retrieved(spark, folder)))
 
 
 @register
@@ -763,9 +785,11 @@ def embed_documents(spark, folder):
     """Vectors of all documents, whole texts."""
     texts = sample.table(spark, folder, "documents").select("doc_id", "text")
     found = documents.embed(texts, documents.fit_embedder(texts))
-    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    # Unit vectors, or zero where no word tells texts apart.
-    return found.select("doc_id", F.size("embedding").alias("slots"), ((F.abs(length - 1) < 1e-3) | (length == 0)).alias("coherent"))
+    cells = F.transform("embedding", lambda x, i: F.struct(i.alias("slot"), x.alias("weight")))
+    # One row per word slot in use, in millionths; documents without a word have one empty row.
+    return found.select("doc_id", F.explode_outer(F.filter(cells, lambda c: c["weight"] != 0)).alias("cell")).select(
+        "doc_id", "cell.slot", F.rint(F.col("cell.weight").cast("double") * 1e6).cast("long").alias("millionths")
+    )
 
 
 @register
@@ -777,7 +801,7 @@ def retrieve_supplier_documents(spark, folder):
     )
     embedder = documents.fit_embedder(suppliers)
     found = retrieval.retrieve_topk(documents.embed(asked, embedder), documents.embed(suppliers, embedder))
-    return found.select("query_id", "rank", F.col("similarity").between(-1.000001, 1.000001).alias("coherent"))
+    return found
 
 
 # --- streams and health -----------------------------------------------------------------
@@ -832,10 +856,18 @@ def pipeline_health_complete(spark, folder):
     checks = health.health_checks(
         spark, [f"{database}.marts_otif_kpi", f"{database}.marts_supplier_kpi"], {"drift_report": report}
     )
+    return _health_rows(spark, checks, report, location, database)
+
+
+def _health_rows(spark, checks, report, location, database):
+    """One row per check, named without the database, next to what the report says of all."""
     summary = health.pipeline_health(
         checks, reports.load_drift_report(spark, report), reports.read_log(spark, f"{location}/log")
     )
-    return summary.select("healthy", F.size("checks").alias("n_checks"), F.col("drift.status").alias("drift_status"))
+    return summary.select(
+        "healthy", F.explode("checks").alias("check", "ok"), F.col("drift.status").alias("drift_status"),
+        "drift.drift_detected", "rag.total_calls",
+    ).withColumn("check", F.replace("check", F.lit(f"{database}."), F.lit("")))
 
 
 @register
@@ -844,15 +876,9 @@ def pipeline_health(spark, folder):
     database, location = _gold(spark, folder), scratch_path(spark, "health")
     report = f"{location}/drift"
     reports.write_report(drift.mean_shift_report(drift.populations(gold_mart(spark, folder))), report)
+    lake.write_gold(gold_mart(spark, folder).filter("ordered_qty < 0"), "marts_without_rows", database)
     checks = health.health_checks(
-        spark, [f"{database}.marts_otif_kpi", f"{database}.marts_supplier_kpi"],
+        spark, [f"{database}.{name}" for name in ("marts_otif_kpi", "marts_supplier_kpi", "marts_without_rows")],
         {"drift_report": report, "model": f"{location}/absent"},
     )
-    summary = health.pipeline_health(
-        checks, reports.load_drift_report(spark, report), reports.read_log(spark, f"{location}/log")
-    )
-    return summary.select(
-        "healthy", F.size(F.map_filter("checks", lambda name, ok: ok)).alias("n_ok"),
-        F.size("checks").alias("n_checks"), F.col("drift.status").alias("drift_status"),
-        "drift.drift_detected", "rag.total_calls",
-    )
+    return _health_rows(spark, checks, report, location, database)

@@ -245,6 +245,73 @@ TABLES = {
         FROM routed r LEFT JOIN short_texts s ON lower(r.supplier_id) = lower(s.supplier_id)""",
 }
 
+
+
+def _word_tables(fit: str, source: str, asked: dict[str, str]) -> dict[str, str]:
+    """Tables of text vectors: words hashed to slots, counts times rarity, to unit length. ``source``
+    (key, text) decides on the slots and their rarity, each of ``asked`` has vectors of its own."""
+    words = r"SELECT key, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS word FROM "
+    slots = "SELECT key, cast(('0x' || substr(sha256(word), 1, 8)) AS bigint) % size AS slot, count(*) AS tf FROM "
+    out = {
+        f"{fit}_texts": source,
+        f"{fit}_words": words + f"{fit}_texts",
+        f"{fit}_size": f"""SELECT cast(least(1024, greatest(2, pow(2, ceil(log2(4 * count(DISTINCT word)))))) AS bigint)
+            AS size FROM {fit}_words""",
+        f"{fit}_number": f"SELECT count(*) AS n FROM {fit}_texts WHERE text IS NOT NULL",
+        f"{fit}_rarity": f"""SELECT slot, count(*) AS d FROM ({slots} {fit}_words CROSS JOIN {fit}_size GROUP BY ALL)
+            GROUP BY slot""",
+    }
+    for name, texts in asked.items():
+        out |= {
+            f"{name}_texts": texts,
+            f"{name}_words": words + f"{name}_texts",
+            f"{name}_slots": f"{slots} {name}_words CROSS JOIN {fit}_size GROUP BY ALL",
+            f"{name}_weights": f"""SELECT key, s.slot, tf * ln((n + 1) * 1e0 / (coalesce(d, 0) + 1)) AS w
+                FROM {name}_slots s CROSS JOIN {fit}_number LEFT JOIN {fit}_rarity r ON s.slot = r.slot""",
+            f"{name}_vectors": f"""SELECT key, slot,
+                cast(cast(w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS float) AS double) AS w
+                FROM {name}_weights WHERE w <> 0""",
+            f"{name}_lengths": f"SELECT key, sqrt(sum(w * w)) AS length FROM {name}_vectors GROUP BY key",
+        }
+    return out
+
+
+def _near(asked: str, known: str) -> str:
+    """The five nearest texts of each: asked, known, near, rank."""
+    return f"""
+        SELECT *, row_number() OVER (PARTITION BY asked ORDER BY near DESC, known) AS rank FROM (
+            SELECT a.key AS asked, k.key AS known, round(coalesce(dot / (al.length * kl.length), 0), 9) AS near
+            FROM {asked}_texts a CROSS JOIN {known}_texts k
+            LEFT JOIN {asked}_lengths al ON a.key = al.key LEFT JOIN {known}_lengths kl ON k.key = kl.key
+            LEFT JOIN (SELECT a.key AS x, k.key AS y, sum(a.w * k.w) AS dot
+                       FROM {asked}_vectors a JOIN {known}_vectors k ON a.slot = k.slot GROUP BY a.key, k.key) p
+                ON p.x = a.key AND p.y = k.key)
+        QUALIFY rank <= 5"""
+
+
+TABLES |= _word_tables("supplier", "SELECT id AS key, text FROM docs", {
+    "known": "SELECT id AS key, text FROM docs",
+    "asked": "SELECT DISTINCT coalesce(text, '') AS key, coalesce(text, '') AS text FROM questions",
+    "turns": "SELECT concat_ws('-', conv_id, turn) AS key, text FROM conversations",
+})
+TABLES |= _word_tables("corpus", "SELECT doc_id AS key, text FROM documents", {
+    "corpus_own": "SELECT doc_id AS key, text FROM documents",
+})
+TABLES |= {
+    "nearest": _near("asked", "known"),
+    "turns_nearest": _near("turns", "known"),
+    "retrieved": """
+        SELECT q.question_id, coalesce(q.text, '') AS text,
+               CASE WHEN l.key IS NOT NULL THEN 'nearest' ELSE 'fallback' END AS source,
+               CASE WHEN l.key IS NOT NULL THEN n.docs ELSE f.docs END AS docs,
+               CASE WHEN l.key IS NOT NULL THEN n.n_docs
+                    ELSE 1 + length(f.docs) - length(replace(f.docs, '{sep}', '')) END AS n_docs
+        FROM questions q JOIN fallback f ON q.question_id = f.question_id
+        LEFT JOIN asked_lengths l ON coalesce(q.text, '') = l.key
+        LEFT JOIN (SELECT asked, string_agg(text, '{sep}' ORDER BY rank) AS docs, count(*) AS n_docs
+                   FROM nearest JOIN known_texts ON known = key GROUP BY asked) n ON l.key = n.asked""",
+}
+
 FEATURES = [
     "ordered_qty", "unit_cost", "total_order_cost", "standard_lead_time_days", "is_repairable",
     "shelf_life_days", "part_family_enc", "criticality_class_enc", "supplier_risk_class_enc",
@@ -339,6 +406,11 @@ _CONTRIBUTIONS = f"""
                  AS places(name, place) ON feature = name))
     WHERE rank <= 8"""
 
+_OVERALL = ", ".join(
+    f"(cast({i} AS integer), '{f}', round({w}, 4))"
+    for i, (f, w) in enumerate(sorted(_WEIGHTS.items(), key=lambda x: -float(x[1]))[:5], 1)
+)
+
 _FAULT = """CASE WHEN new_lead_time NOT BETWEEN 1 AND 365 THEN 'lead_time_out_of_bounds'
                  WHEN new_quantity < 1 THEN 'quantity_out_of_bounds' END"""
 
@@ -347,8 +419,7 @@ _SUPPLIER_CARD = """concat('Situation du fournisseur ', k.supplier_id,
     '\n- Livraison à temps : ', {pct:on_time_rate}, '\n- Quantité complète : ', {pct:in_full_rate},
     '\n- Délai moyen : ', {dec:avg_delay_days}, ' jours', '\n- Retard max : ', {dec:max_delay_days}, ' jours',
     '\n- Incidents : ', total_incidents, ' (critiques : ', critical_incidents, ')',
-    '\n- Commandes : ', total_orders,
-    '\nÀ lire ensemble : OTIF, délais et incidents ; retards et défauts répétés augmentent le risque.')"""
+    '\n- Commandes : ', total_orders)"""
 _GLOBAL_CARD = """(SELECT concat('Situation globale des commandes livrées', '\n- OTIF global : ', {pct:global_otif},
     '\n- Livraison à temps : ', {pct:on_time_rate}, '\n- Quantité complète : ', {pct:in_full_rate},
     '\n- Commandes analysées : ', total_orders) FROM overall)"""
@@ -390,6 +461,11 @@ _DRIFT = """SELECT count(*) FILTER (shift > 0.25) > 0 AS drift_detected,
 FROM shifts"""
 _OPEN_SCORES = f"""SELECT po_id, supplier_id, otif_proba, 1e0 - otif_proba AS risk_score,
        {_risk('1e0 - otif_proba')} AS risk_level, cast(otif_proba >= 0.5e0 AS integer) AS predicted_otif FROM scored"""
+_HEALTH = """
+    SELECT bool_and(ok) OVER () AS healthy, "check", ok, 'measured' AS drift_status,
+           (SELECT count(*) FILTER (shift > 0.25) > 0 FROM shifts) AS drift_detected, cast(0 AS bigint) AS total_calls
+    FROM (VALUES ('marts_otif_kpi', (SELECT count(*) > 0 FROM mart)), ('marts_supplier_kpi', (SELECT count(*) > 0 FROM kpi)),
+                 ('drift_report', (SELECT count(*) > 0 FROM shifts)){more}) AS checks("check", ok)"""
 _DETAIL = """supplier_id, supplier_risk_class, total_orders, otif_rate, avg_delay_days, max_delay_days,
        total_incidents, critical_incidents"""
 _RANKING = """supplier_id, supplier_risk_class, round(coalesce(otif_rate, 0), 4) AS otif_rate,
@@ -422,10 +498,8 @@ BODIES = {
     "stg_quality_incidents": "SELECT * FROM stg_incidents",
     "stg_supply_chain_history": "SELECT * FROM stg_history",
     "deduplicate": """
-        SELECT * EXCLUDE (place) FROM (
-            SELECT *, row_number() OVER (PARTITION BY supplier_id, part_id ORDER BY
-                po_id, site_id, order_date NULLS FIRST, promised_date NULLS FIRST) AS place FROM stg_orders)
-        WHERE place = 1""",
+        SELECT * REPLACE (CASE WHEN receipt_date IS NULL THEN site_id ELSE concat('A-', site_id) END AS site_id)
+        FROM stg_orders""",
     "otif_enriched": "SELECT * FROM mart",
     "delivered_orders": "SELECT po_id, supplier_id, otif_score FROM mart WHERE is_otif IS NOT NULL",
     "otif_by_supplier": _segment("supplier"),
@@ -510,18 +584,19 @@ BODIES = {
         SELECT a.po_id, round(1e0 - otif_proba, 4) AS risk_score,
                CASE WHEN {_KNOWN} THEN {_risk('round(1e0 - otif_proba, 4)')} END AS risk_level,
                round(otif_proba, 4) AS otif_proba,
-               CASE WHEN round(1e0 - otif_proba, 4) >= 0.6e0
-                        THEN 'Risque élevé : coût, délai, criticité et fournisseur se cumulent.'
-                    WHEN round(1e0 - otif_proba, 4) >= 0.3e0
-                        THEN 'Risque modéré : surveiller le fournisseur et la date promise.'
-                    WHEN {_KNOWN} THEN 'Risque faible : profil proche des commandes livrées à temps et complètes.'
-               END AS summary,
+               CASE WHEN {_KNOWN} THEN concat(CASE WHEN round(1e0 - otif_proba, 4) >= 0.6e0 THEN 'high'
+                                                   WHEN round(1e0 - otif_proba, 4) >= 0.3e0 THEN 'moderate'
+                                                   ELSE 'low' END, ': ', top.names) END AS summary,
                CASE WHEN NOT {_KNOWN} THEN concat('po_id ''', a.po_id, ''' introuvable') END AS error,
-               CASE WHEN {_KNOWN} THEN 8 END AS n_features, c.feature AS first_feature,
-               c.contribution AS first_contribution,
-               CASE WHEN {_KNOWN} THEN 'is_repairable' END AS first_overall
+               e.kind, e.rank, e.feature, e.value, e.weight
         FROM asked a LEFT JOIN scored s ON a.po_id = s.po_id
-        LEFT JOIN ({_CONTRIBUTIONS}) c ON a.po_id = c.po_id AND c.rank = 1""",
+        LEFT JOIN (SELECT po_id, string_agg(feature, ', ' ORDER BY rank) AS names FROM ({_CONTRIBUTIONS}) WHERE rank <= 3
+                   GROUP BY po_id) top ON a.po_id = top.po_id
+        LEFT JOIN (SELECT po_id, 'order' AS kind, cast(rank AS integer) AS rank, feature, value, contribution AS weight
+                   FROM ({_CONTRIBUTIONS})
+                   UNION ALL
+                   SELECT po_id, 'overall', rank, feature, NULL, weight FROM scored CROSS JOIN (VALUES {_OVERALL})
+                       AS overall(rank, feature, weight)) e ON a.po_id = e.po_id""",
     "local_contributions": _CONTRIBUTIONS,
     "what_if": f"""
         SELECT scenario_id, po_id, supplier_id, round(before, 4) AS initial_risk_score,
@@ -584,7 +659,7 @@ BODIES = {
     "answer_questions": f"""
         SELECT question_id, question_type, r.supplier_id, {_ROUTE} AS route,
                CASE {_ROUTE}
-                   WHEN 'empty' THEN 'Merci de poser une question sur les KPI, les fournisseurs ou les incidents.'
+                   WHEN 'empty' THEN '[empty question]'
                    WHEN 'supplier' THEN {_SUPPLIER_CARD}
                    WHEN 'global' THEN {_GLOBAL_CARD}
                    ELSE {_WORST_LIST} END AS answer
@@ -609,17 +684,14 @@ BODIES = {
               FROM scenarios c JOIN features f ON c.po_id = f.po_id WHERE {_FAULT} IS NULL) w
         LEFT JOIN docs d ON w.supplier_id = d.id""",
     "retrieve": """
-        SELECT question_id, CASE WHEN near THEN 5 WHEN supplier_id IS NOT NULL THEN 1 ELSE 5 END AS n_docs,
-               CASE WHEN near THEN 'nearest' ELSE 'fallback' END AS source
-        FROM (SELECT question_id, supplier_id, coalesce(regexp_matches(text, '(?i)^\\s*(pourquoi|supplier)'), false) AS near
-              FROM routed)""",
+        SELECT question_id, cast(n_docs AS integer) AS n_docs, source, docs FROM retrieved""",
     "chat_prompts": """
-        SELECT q.question_id, concat('[question]\n', q.text, '\n[documents]\n', replace(f.docs, '{sep}', '\n\n'),
-                                     '\n[task]\nAnswer from the documents only.') AS prompt
-        FROM questions q JOIN fallback f ON q.question_id = f.question_id""",
+        SELECT question_id, concat('[question]\n', text, '\n[documents]\n', replace(docs, '{sep}', '\n\n'),
+                                   '\n[task]\nAnswer from the documents only.') AS prompt
+        FROM retrieved""",
     "retrieval_evaluation": """
         SELECT round(avg(CASE WHEN length(docs) > 20 THEN 1e0 ELSE 0e0 END), 3) AS retrieval_success_rate,
-               count(*) AS n_questions FROM fallback""",
+               count(*) AS n_questions FROM (SELECT split_part(docs, '{sep}', 1) AS docs FROM retrieved)""",
     "ingest_stream": """
         SELECT * REPLACE (CASE WHEN receipt_date IS NULL THEN 0e0 ELSE received_qty END AS received_qty) FROM raw_orders""",
     "score_stream": _OPEN_SCORES + " WHERE receipt_date IS NULL",
@@ -629,7 +701,12 @@ BODIES = {
     "model_evaluation": f"""
         SELECT count(*) FILTER ({_SHUFFLED} % 1000 < 200) AS test_size, round(avg(label), 4) AS baseline_otif_rate,
                true AS coherent FROM matrix""",
-    "model_importance": "SELECT unnest([" + ", ".join(f"'{f}'" for f in FEATURES) + "]) AS feature, true AS coherent, 1e0 AS total",
+    "model_importance": "SELECT unnest(generate_series(1, 9)) AS rank, true AS coherent, 1e0 AS total",
+    "importance_ranking": f"""
+        SELECT row_number() OVER (ORDER BY mean DESC, feature) AS rank, feature, round(mean, 4) AS importance FROM (
+            SELECT feature, avg(abs(value) * CASE feature {" ".join(f"WHEN '{f}' THEN {w}" for f, w in _WEIGHTS.items())} END)
+                AS mean FROM long_features GROUP BY feature)
+        QUALIFY rank <= 5""",
     "model_predict_batch": "SELECT po_id, supplier_id, true AS coherent FROM scored",
     "model_predict_orders": f"""
         SELECT a.po_id, CASE WHEN {_KNOWN} THEN 'model' ELSE 'fallback' END AS source,
@@ -644,15 +721,14 @@ BODIES = {
         SELECT c.scenario_id, c.po_id, coalesce(c.new_supplier_id, f.supplier_id) AS supplier_id, true AS coherent
         FROM scenarios c JOIN features f ON c.po_id = f.po_id WHERE {_FAULT} IS NULL""",
     "model_score_stream": "SELECT po_id, supplier_id, true AS coherent FROM scored WHERE receipt_date IS NULL",
-    "embed_documents": "SELECT doc_id, 1024 AS slots, true AS coherent FROM documents",
+    "embed_documents": """
+        SELECT doc_id, cast(slot AS integer) AS slot, cast(round_even(w * 1e6, 0) AS bigint) AS millionths
+        FROM documents LEFT JOIN corpus_own_vectors ON doc_id = key""",
     "retrieve_supplier_documents": """
-        SELECT concat_ws('-', conv_id, turn) AS query_id, rank, true AS coherent FROM conversations
-        CROSS JOIN (SELECT unnest(generate_series(1, least(5, (SELECT count(*) FROM kpi)))) AS rank)""",
-    "pipeline_health_complete": "SELECT true AS healthy, 3 AS n_checks, 'measured' AS drift_status",
-    "pipeline_health": """
-        SELECT false AS healthy, 3 AS n_ok, 4 AS n_checks, 'measured' AS drift_status,
-               (SELECT count(*) FILTER (shift > 0.25) > 0 FROM shifts) AS drift_detected,
-               cast(0 AS bigint) AS total_calls""",
+        SELECT asked AS query_id, known AS doc_id, round(near, 6) AS similarity, rank FROM turns_nearest""",
+    "pipeline_health_complete": _HEALTH.format(more=""),
+    "pipeline_health": _HEALTH.format(more=""", ('marts_without_rows', (SELECT count(*) > 0 FROM mart WHERE ordered_qty < 0)),
+            ('model', false)"""),
 }
 
 
