@@ -7,8 +7,9 @@ runs are covered by these); a sentence of ``long_words`` words is a run by itsel
 in the table are one span; its first occurrence, by ``doc_id`` and place, stays. Every sentence
 covered by an occurrence that is not the first is removed with the white space after it.
 
-Runs that occur once leave the job early: counts are added up before the shuffle, and only runs
-with a count above one are joined back to their places.
+Runs that occur once leave the job early: counts and first places are taken before the shuffle,
+and only runs with a count above one are joined back to their places. A very frequent one
+is dealt out over several tasks.
 
 Nulls and edges: a null text stays null, an empty one empty; neither has sentences. Texts of
 fewer sentences than a run have none. Rows equal in ``doc_id`` and text are one
@@ -27,12 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.llm.common import slices, stored
+from punctual.llm.common import rows_in, slices, stored
 
 SENTENCES = 2
 #: No floor: a repeated run of short sentences is a repeat as well.
 WORDS = 0
 LONG_WORDS = 40
+#: A very frequent run is cut into this many pieces for each partition that it would fill.
+CUTS = 4
 BREAK = re.compile(r"\n+|(?<=[.!?])\s+")
 RUNS = "hash long, check int, doc_id long, row long, pos int, size int"
 REMOVED = "struct<text: string, n_sentences: long, n_removed: long>"
@@ -104,14 +107,30 @@ def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, long_w
     texts = texts.filter("text <> ''").withColumn("row", _row())
     all_runs = texts.mapInArrow(_spread(least, words, long_words), RUNS)
     key = ["hash", "check"]
-    often = all_runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
-    found = stored(all_runs.join(often, key), "repeated-runs")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row").alias("r"), F.col("pos").alias("p"))
-    first = found.groupBy(*key).agg(F.min(place).alias("first"))
-    later = found.join(first, key).filter(place != F.col("first"))
+    # Counted and compared before the shuffle: a run held by very many texts sends one row per task.
+    firsts = stored(
+        all_runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1"), "repeated-runs"
+    )
+    later = _join_spread(all_runs, firsts, key).filter(place != F.col("first"))
     return later.groupBy("doc_id", "row").agg(F.collect_set(F.struct("pos", "size")).alias("spans"))
 
 
+def _join_spread(all_runs: DataFrame, firsts: DataFrame, key: list[str]) -> DataFrame:
+    """Every occurrence of the runs in ``firsts``, with their first place. A run with more than two
+    partitions' share of all occurrences is cut into pieces by the text it is in; there are
+    fewer such runs than partitions, so the list of them is bounded."""
+    partitions = rows_in(all_runs.sparkSession)
+    total = firsts.agg(F.sum("n")).first()[0] or 1
+    hot = firsts.filter(F.col("n") * partitions > 2 * total).select(
+        *key, F.ceil(F.col("n") * (CUTS * partitions / total)).cast("int").alias("pieces")
+    )
+    pieces = F.coalesce("pieces", F.lit(1))
+    cut = all_runs.join(F.broadcast(hot), key, "left").withColumn("piece", F.pmod("row", pieces).cast("int"))
+    copies = firsts.join(F.broadcast(hot), key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return cut.drop("pieces").join(copies.select(*key, "piece", "first"), [*key, "piece"])
+
+
 def _remove(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     kind = pa.struct([("text", pa.string()), ("n_sentences", pa.int64()), ("n_removed", pa.int64())])
     for texts, spans in batches:

@@ -459,7 +459,7 @@ def test_licenses_in_other_forms(spark):
 
 
 # --- sentence spans ----------------------------------------------------------
-def brute_spans(texts, least=2, words=20, long_words=40):
+def brute_spans(texts, least=2, words=0, long_words=40):
     cuts, seen = {}, {}
     for doc, text in texts:
         cut = [" ".join(text[a:b].split()) for a, b in sentence_spans.sentences(text)] if text else []
@@ -480,26 +480,62 @@ def test_sentences():
     assert sentence_spans.sentences("") == [] and sentence_spans.sentences("\n \n") == []
 
 
-def test_sentence_spans(docs):
-    got = {(r.doc_id, r.text): r["__kept"] for r in sentence_spans.remove_repeats(docs.withColumn("was", F.col("text"))).select("doc_id", F.col("was").alias("text"), "__kept").collect()}
-    cuts, seen = brute_spans(TEXTS)
-    first = {}
-    for key, places in seen.items():
-        # By id; the texts of one id differ, so ties are within it.
-        first[key] = min(places, key=lambda p: (p[0], p[2]))
+SHORT = [
+    (30, "One two. Three four. " + prose(30)), (31, "Else. One two. Three four. Last one."), (32, "Three four. Last one!"),
+    (33, "Last one."), (34, "Three four. Last one. One two. Three four."), (35, prose(31, 1) + " " + "long " * 45 + "end. Tail."),
+    (36, "Head. " + "long " * 45 + "end. Other tail."), (36, "One two. Three four."), (None, "Else. One two. Three four. Last one."),
+]
+
+
+def removed_by_brute_force(texts, words):
+    cuts, seen = brute_spans(texts, words=words)
     gone = {k: set() for k in cuts}
-    for key, places in seen.items():
-        for (missing, doc), text, a, b in places - {first[key]}:
+    for places in seen.values():
+        # By id; the texts of one id differ, so ties are within it.
+        for (missing, doc), text, a, b in places - {min(places, key=lambda p: (p[0], xxhash64_of(p[0], p[1]), p[2]))}:
             gone[None if missing else doc, text] |= set(range(a, b))
+    return cuts, gone
+
+
+def xxhash64_of(place, text):
+    """Spark's hash of an id and a text, which orders texts with the same id."""
+    missing, doc = place
+    seed = 42 if missing else xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)
+    own = xxhash.xxh64_intdigest(text.encode(), seed)
+    return own - (1 << 64 if own >> 63 else 0)
+
+
+@pytest.mark.parametrize(("words", "cuts_per_part"), [(0, 4), (20, 4), (0, 1000)])
+def test_sentence_spans(spark, monkeypatch, words, cuts_per_part):
+    monkeypatch.setattr(sentence_spans, "CUTS", cuts_per_part)
+    texts = TEXTS + SHORT
+    docs = spark.createDataFrame([(i, t, *["x"] * 6) for i, t in texts], CLASHING).repartition(3)
+    found = sentence_spans.remove_repeats(docs.withColumn("was", F.col("text")), words=words)
+    got = {(r.doc_id, r.was): r["__kept"] for r in found.select("doc_id", "was", "__kept").collect()}
+    cuts, gone = removed_by_brute_force(texts, words)
     for (doc, text), own in gone.items():
         kept = got[doc, text]
         assert kept.n_removed == len(own) and kept.n_sentences == len(cuts[doc, text])
-        if not own:
-            assert kept.text == text
+        spans = sentence_spans.sentences(text or "")
+        assert kept.text == (text if not own else "".join(text[a:b] for i, (a, b) in enumerate(spans) if i not in own))
+    # The texts tell the rules apart.
+    assert gone != removed_by_brute_force(texts, 20 - words)[1]
     # The passage stays in the first document that has it and goes from the other.
     assert PASSAGE in got[2, TEXTS[1][1]].text and not set(got[3, TEXTS[2][1]].text.split(". ")) & set(PASSAGE.split(". ")[1:-1])
 
 
+def test_frequent_runs_are_dealt_out(spark):
+    """A run held by a third of the texts is in no task with more than a few partitions' share."""
+    texts = [(i, f"Own {i}. Start {i}." if i % 3 else f"Shared one. Shared two. Own {i}. Start {i}. Own {i - 1}.") for i in range(900)]
+    texts = spark.createDataFrame(texts, "doc_id long, text string").withColumn("row", F.xxhash64("doc_id", "text"))
+    all_runs = texts.mapInArrow(sentence_spans._spread(2, 0, 40), sentence_spans.RUNS)
+    key, place = ["hash", "check"], F.struct("doc_id", "row", "pos")
+    firsts = all_runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1")
+    joined = sentence_spans._join_spread(all_runs, firsts, key)
+    assert joined.groupBy(*key).count().agg(F.max("count")).first()[0] == 300
+    assert joined.groupBy(*key, "piece").count().agg(F.max("count")).first()[0] < 60
+
+
 def test_short_sentences_are_runs_too(spark):
     texts = [(1, "One two. Three four. Alone here."), (2, "Else. One two. Three four."), (3, "One two. Other end.\nAlone here.")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
