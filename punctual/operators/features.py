@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from punctual.functions.running import totals_before
+from punctual.functions.ranges import order_statistics
 from punctual.functions.scalars import category_code
 from punctual.schemas import AFTER_DELIVERY, CATEGORIES, FEATURES, SEED, TARGET, TEST_SHARE
 
@@ -47,47 +47,26 @@ def class_distribution(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def long_features(df: DataFrame, *keep: str) -> DataFrame:
-    """One row per order and feature."""
-    doubles = [F.col(f).cast("double").alias(f) for f in FEATURES]
-    return df.select(*keep, *doubles).unpivot(list(keep), FEATURES, "feature", "value")
-
-
 def describe_features(matrix: DataFrame) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum per feature.
 
-    Quartiles interpolate between neighbours. They are read off running counts of
-    distinct values, so no task has to hold a whole column.
+    Moments of all features come from one pass over the rows as they are. Quartiles interpolate
+    between neighbours, which are selected by counting in value ranges.
     """
-    values = long_features(matrix).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = totals_before(values, "feature", "value", ["n"])
-
-    def at(position: Column) -> Column:
-        inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
-        return F.max(F.when(inside, F.col("value")))
-
-    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    picks = []
-    for name, part in shares.items():
-        where = (F.col("n_total") - 1) * F.lit(part)
-        picks += [at(F.floor(where)).alias(f"{name}_low"), at(F.ceil(where)).alias(f"{name}_high")]
-    picked = ranked.groupBy("feature").agg(*picks)
-    # Moments of all features in one pass over the rows as they are.
-    numbers = {"n_rows": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    numbers = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
     wide = matrix.agg(*[
         F.struct(F.lit(f).alias("feature"), *[
             measure(F.col(f).cast("double")).alias(name) for name, measure in numbers.items()
         ]).alias(f)
         for f in FEATURES
     ])
-    size = wide.select(F.inline(F.array(*FEATURES)))
-    quartiles = []
-    for name, part in shares.items():
-        where = (F.col("n_rows") - 1) * F.lit(part)
-        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-        quartiles.append((low + (high - low) * (where - F.floor(where))).alias(name))
-    return size.join(F.broadcast(picked), "feature").select(
-        "feature", F.col("n_rows").alias("count"), "mean", "stddev", "min", *quartiles, "max"
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    quartiles = order_statistics(matrix, list(shares.values()), FEATURES)
+    rows = matrix.sparkSession.createDataFrame(
+        [(f, *quartiles[f]) for f in FEATURES], "feature string, " + ", ".join(f"{name} double" for name in shares)
+    )
+    return wide.select(F.inline(F.array(*FEATURES))).join(F.broadcast(rows), "feature").select(
+        "feature", "count", "mean", "stddev", "min", *shares, "max"
     )
 
 

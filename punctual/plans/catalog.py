@@ -669,6 +669,14 @@ def drift_between_classes(spark, folder):
     return drift.mean_shift(pops).select("feature", half_up(F.col("shift"), 6).alias("shift"), "drifted")
 
 
+@register
+def drift_ks_between_quantities(spark, folder):
+    """Distances between orders of up to 20 pieces and larger ones: cost and quantity drift."""
+    marked = gold_mart(spark, folder).withColumn("is_reference", F.col("ordered_qty") <= 20)
+    pops = features.build_features(marked, require_target=False).select("po_id", *FEATURES, "is_reference")
+    return drift.ks_distance(pops).select("feature", half_up(F.col("distance"), 9).alias("distance"), "drifted")
+
+
 @register
 def populations_by_flag(spark, folder):
     """Sizes of the populations where no receipt date is known, only the delivery flag."""

@@ -617,6 +617,15 @@ BODIES = {
     "drift_mean_shift": """
         SELECT feature, round(shift, 6) AS shift, coalesce(shift > 0.25, false) AS drifted FROM shifts""",
     "drift_ks": "SELECT feature, round(distance, 9) AS distance, distance > 0.1 AS drifted FROM distances",
+    "drift_ks_between_quantities": """
+        SELECT feature, round(max(abs(a - b)), 9) AS distance, max(abs(a - b)) > 0.1 AS drifted FROM (
+            SELECT feature, sum(sum(CASE WHEN ordered_qty <= 20 THEN 1 ELSE 0 END)) OVER w * 1e0
+                       / (SELECT count(*) FROM mart WHERE ordered_qty <= 20) AS a,
+                   sum(sum(CASE WHEN ordered_qty > 20 THEN 1 ELSE 0 END)) OVER w * 1e0
+                       / (SELECT count(*) FROM mart WHERE ordered_qty > 20) AS b
+            FROM long_features JOIN mart USING (po_id) WHERE ordered_qty IS NOT NULL GROUP BY feature, value
+            WINDOW w AS (PARTITION BY feature ORDER BY value))
+        GROUP BY feature""",
     "drift_ks_report": """
         SELECT count(*) FILTER (distance > 0.1) > 0 AS drift_detected,
                round(count(*) FILTER (distance > 0.1) * 1e0 / count(*), 4) AS drift_share, 'measured' AS status,
