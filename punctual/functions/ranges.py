@@ -177,7 +177,7 @@ def order_statistics(df: DataFrame, shares: list[float], columns: list[str]) ->
                 continue
             where = (total[c] - 1) * s
             low, high = found[c][int(np.floor(where))], found[c][int(np.ceil(where))]
-            out[c].append(low + (high - low) * (where - np.floor(where)))
+            out[c].append(float(low + (high - low) * (where - np.floor(where))))
     return out
 
 

@@ -94,12 +94,12 @@ def train_and_evaluate(spark: SparkSession, mart: DataFrame, lake_folder: str, *
 
 def run(
     spark: SparkSession, raw_folder: str, lake_folder: str, database: str = "gold",
-    on_missing: str = "error", fit_model: bool = True, **trees,
+    on_missing: str = "error", fit_model: bool = True, read_options: dict[str, dict] | None = None, **trees,
 ) -> Result:
     """Load, transform, test, then index, train, measure drift and health; a failed
     test stops everything after it."""
     bronze = f"{lake_folder}/bronze"
-    manifest = load_bronze(spark, raw_folder, bronze, on_missing=on_missing)
+    manifest = load_bronze(spark, raw_folder, bronze, on_missing=on_missing, options=read_options)
     views = stage(spark, bronze)
     build_gold(spark, views, database, f"{lake_folder}/gold")
     mart = read_orders(spark, database)

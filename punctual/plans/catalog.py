@@ -824,7 +824,7 @@ def ingest_stream(spark, folder):
     as they stand last."""
     landing, bronze = scratch_path(spark, "landing"), scratch_path(spark, "bronze")
     orders = sample.purchase_orders(spark, folder)
-    _opened(orders.filter("part_id % 2 = 0")).write.parquet(f"{bronze}/purchase_orders")
+    lake.write_bronze(_opened(orders.filter("part_id % 2 = 0")), f"{bronze}/purchase_orders", "purchase_orders")
     orders.unionByName(orders).unionByName(_opened(orders)).write.parquet(landing)
     arriving = stream.read_orders(spark, landing, spark.read.parquet(landing).schema)
     stream.ingest_open_orders(arriving, bronze, scratch_path(spark, "checkpoint")).awaitTermination()

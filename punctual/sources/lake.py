@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+import itertools
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from punctual.functions.running import with_sequence
+from punctual.session import stored
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -13,18 +19,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_bronze(spark: SparkSession, bronze_folder: str, name: str) -> DataFrame:
-    """One Bronze table; rows that arrived as a stream are part of it, each id once."""
-    root = bronze_folder.rstrip("/")
-    table = spark.read.parquet(f"{root}/{name}")
-    if not path_exists(spark, live_path(root, name)):
-        return table
-    live = spark.read.parquet(live_path(root, name)).select(table.columns)
-    return newest(table, live, LIVE_KEYS[name]) if name in LIVE_KEYS else table.unionByName(live)
+#: Tables that may get a row again: their key, and the column whose value closes a row.
+LIVE_KEYS = {"purchase_orders": ("po_id", "receipt_date")}
+#: Such a table lies in this many buckets by the hash of its key.
+BUCKETS = 32
+BUCKET = "__bucket"
 
 
-#: Key of a table that may get a row again, and the column whose value closes it.
-LIVE_KEYS = {"purchase_orders": ("po_id", "receipt_date")}
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias(BUCKET)
+
+
+def _in_ranges(df: DataFrame, name: str) -> DataFrame:
+    """Ranges of bucket and id: a large bucket is written by several tasks, a task writes few
+    files, and each is sorted, so that a lookup by id reads few row groups."""
+    order = [BUCKET, LIVE_KEYS[name][0]]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def write_bronze(df: DataFrame, path: str, name: str, buckets: int = BUCKETS) -> None:
+    """Write a Bronze table; one that may get rows again is dealt into buckets of its key."""
+    if name not in LIVE_KEYS:
+        df.write.mode("overwrite").parquet(path)
+        return
+    _in_ranges(df.select("*", _bucket(LIVE_KEYS[name][0], buckets)), name).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    put_text(df.sparkSession, f"{path}/_buckets", str(buckets))
+
+
+def read_bronze(spark: SparkSession, bronze_folder: str, name: str) -> DataFrame:
+    """One Bronze table. Rows that arrived as a stream have been merged into it."""
+    return spark.read.parquet(f"{bronze_folder.rstrip('/')}/{name}").drop(BUCKET)
 
 
 def newest(base: DataFrame, live: DataFrame, key: tuple[str, str]) -> DataFrame:
@@ -45,12 +69,106 @@ def newest(base: DataFrame, live: DataFrame, key: tuple[str, str]) -> DataFrame:
     return base.join(ids, name, "left_anti").unionByName(chosen).unionByName(unnamed).select(base.columns)
 
 
-def live_path(bronze_folder: str, name: str) -> str:
-    """Folder of streamed rows: a stream sink keeps a file list of its own, so it
-    must not share a folder with files written in batch."""
-    return f"{bronze_folder.rstrip('/')}/{name}_live"
+def merge_rows(spark: SparkSession, bronze_folder: str, name: str, live: DataFrame, step: str) -> None:
+    """Merge rows into a Bronze table: only the buckets that they fall into are read and
+    written again. ``step`` names the batch: one that broke off is taken up where it was.
+
+    The new buckets are written beside the table first. They replace the old ones only when all
+    are there, so a run that ends in between, or is repeated, finds them and replaces once more.
+    """
+    root, key = bronze_folder.rstrip("/"), LIVE_KEYS[name]
+    path, beside = f"{root}/{name}", f"{root}/_merging/{name}/{step}"
+    if not path_exists(spark, f"{beside}/_SUCCESS"):
+        table = _bucketed(spark, path, name, live)
+        buckets = int(get_text(spark, f"{path}/_buckets"))
+        dealt = stored(live.select(*[c for c in table.columns if c != BUCKET], _bucket(key[0], buckets)), "arrived")
+        # At most one row per bucket.
+        touched = [r[0] for r in dealt.select(BUCKET).distinct().collect()]
+        if not touched:
+            return
+        merged = newest(table.filter(F.col(BUCKET).isin(touched)), dealt.select(table.columns), key)
+        _in_ranges(merged, name).write.mode("overwrite").partitionBy(BUCKET).parquet(beside)
+    spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    remove(spark, beside)
+
+
+def _bucketed(spark: SparkSession, path: str, name: str, live: DataFrame) -> DataFrame:
+    """The table with its buckets; one written without them is dealt out first, one that is not
+    there yet begins without rows."""
+    there = path_exists(spark, path)
+    if not there or not path_exists(spark, f"{path}/_buckets"):
+        rows = spark.read.parquet(path) if there else spark.createDataFrame([], live.schema)
+        dealt = f"{path.rsplit('/', 1)[0]}/_dealt-{uuid.uuid4().hex}"
+        write_bronze(rows, dealt, name)
+        swap(spark, [(dealt, path)])
+        if not there:
+            return rows.withColumn(BUCKET, F.lit(0))
+    return spark.read.parquet(path)
+
+
+# --- files -------------------------------------------------------------------
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    store, target = _file_system(spark, path)
+    store.delete(target, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one of that name; tells whether it was written."""
+    store, target = _file_system(spark, path)
+    store.mkdirs(target.getParent())
+    try:
+        out = store.create(target, False)
+    except Exception as error:  # the file system's own kind of error
+        if store.exists(target):
+            return False
+        raise error
+    out.write(text.encode())
+    out.close()
+    return True
+
+
+def get_text(spark: SparkSession, path: str) -> str:
+    store, target = _file_system(spark, path)
+    stream = store.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def swap(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
+    """Rename each folder to its final name, all or none: what was there before is moved aside,
+    and moved back if one of the renames fails."""
+    done = []
+    try:
+        for new, final in pairs:
+            store, source = _file_system(spark, new)
+            target = _file_system(spark, final)[1]
+            aside = spark._jvm.org.apache.hadoop.fs.Path(f"{new}-before")
+            store.mkdirs(target.getParent())
+            had = store.exists(target)
+            if had and not store.rename(target, aside):
+                raise OSError(f"{final} cannot be moved")
+            done.append((store, target, aside if had else None))
+            if not store.rename(source, target):
+                raise OSError(f"{new} cannot be moved")
+    except Exception:
+        for store, target, aside in reversed(done):
+            store.delete(target, True)
+            if aside is not None:
+                store.rename(aside, target)
+        raise
+    for store, _, aside in done:
+        if aside is not None:
+            store.delete(aside, True)
+
+
+# --- open orders -------------------------------------------------------------
 def append_open_orders(base: DataFrame, new: DataFrame) -> DataFrame:
     """Base orders followed by new ones without receipt; ids continue after the largest.
 
@@ -59,25 +177,64 @@ def append_open_orders(base: DataFrame, new: DataFrame) -> DataFrame:
     return base.unionByName(number_open_orders(base, new), allowMissingColumns=True)
 
 
-def number_open_orders(base: DataFrame, new: DataFrame) -> DataFrame:
-    """The new orders with their ids: PO and six zero-padded digits."""
+def largest_number(base: DataFrame) -> DataFrame:
     digits = F.nullif(F.regexp_extract("po_id", r"(\d+)", 1), F.lit(""))
-    largest = base.agg(F.coalesce(F.max(digits.try_cast("bigint")), F.lit(0).cast("bigint"))).scalar()
+    return base.agg(F.coalesce(F.max(digits.try_cast("bigint")), F.lit(0).cast("bigint")))
+
+
+def number_open_orders(base: DataFrame, new: DataFrame, after: Column | None = None) -> DataFrame:
+    """The new orders with their ids: PO and six zero-padded digits, from ``after`` on (else after
+    the largest number there is)."""
+    after = largest_number(base).scalar() if after is None else after
     numbered = with_sequence(new.drop("po_id", "receipt_date"), "__n")
     receipt = F.lit(None).cast(base.schema["receipt_date"].dataType)
     return numbered.withColumns(
-        {"po_id": F.format_string("PO%06d", largest + F.col("__n")), "receipt_date": receipt}
+        {"po_id": F.format_string("PO%06d", after + F.col("__n")), "receipt_date": receipt}
     ).select([c for c in base.columns if c in new.columns or c in ("po_id", "receipt_date")])
 
 
-def store_open_orders(spark: SparkSession, bronze_folder: str, new: DataFrame) -> None:
-    """Append numbered open orders to the Bronze order table."""
-    base = read_bronze(spark, bronze_folder, "purchase_orders")
-    batch = number_open_orders(base, new)
-    missing = {c: F.lit(None).cast(base.schema[c].dataType) for c in base.columns if c not in batch.columns}
-    batch.withColumns(missing).select(base.columns).write.mode("append").parquet(
-        f"{bronze_folder.rstrip('/')}/purchase_orders"
-    )
+def store_open_orders(spark: SparkSession, bronze_folder: str, new: DataFrame, batch: str) -> bool:
+    """Add open orders to the Bronze order table under numbers of their own, once per ``batch``.
+
+    A batch takes its range of numbers by a small file that only one run can create, keeps its
+    numbered rows in a folder and then merges them. A repeated run finds the folder: it adds
+    nothing, or goes on with the same numbers where the first one broke off. Two runs at a time
+    get different ranges. Tells whether rows were added.
+    """
+    root = bronze_folder.rstrip("/")
+    own = f"{root}/_batches/{hashlib.sha256(batch.encode()).hexdigest()[:32]}"
+    if path_exists(spark, f"{own}/done"):
+        return False
+    if not path_exists(spark, f"{own}/rows/_SUCCESS"):
+        base, rows = read_bronze(spark, root, "purchase_orders"), stored(new, "open-orders")
+        after = F.lit(_take_numbers(spark, root, base, rows.count()))
+        numbered = number_open_orders(base, rows, after)
+        missing = {c: F.lit(None).cast(base.schema[c].dataType) for c in base.columns if c not in numbered.columns}
+        numbered.withColumns(missing).select(base.columns).write.mode("overwrite").parquet(f"{own}/rows")
+    merge_rows(spark, root, "purchase_orders", spark.read.parquet(f"{own}/rows"), f"batch-{own.rsplit('/', 1)[-1]}")
+    put_text(spark, f"{own}/done", batch)
+    return True
+
+
+def _take_numbers(spark: SparkSession, root: str, base: DataFrame, rows: int) -> int:
+    """The number before a range of ``rows`` that no other run gets."""
+    folder = f"{root}/_numbers"
+    largest = largest_number(base).first()[0]
+    for turn in itertools.count():
+        # Each file holds the last number of its range; the next one begins after it.
+        taken = f"{folder}/{turn:08d}"
+        if put_text(spark, taken, str(largest + rows)):
+            return largest
+        largest = max(largest, int(_written(spark, taken)))
+
+
+def _written(spark: SparkSession, path: str, waits: int = 50) -> str:
+    """The text of a file that another run may just be writing."""
+    for _ in range(waits):
+        if text := get_text(spark, path):
+            return text
+        time.sleep(0.2)
+    raise RuntimeError(f"{path} is empty: the run that made it broke off; delete it")
 
 
 def publish_silver(views: dict[str, DataFrame]) -> None:

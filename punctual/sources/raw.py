@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from punctual.schemas import BRONZE
+from punctual.sources import lake
 
 
 class MissingSource(FileNotFoundError):
@@ -20,10 +22,10 @@ def read_raw(spark: SparkSession, folder: str, name: str, **options) -> DataFram
     The header is the only thing looked at beforehand: columns are read as text
     and cast, so no inference pass over the data is needed, their order in the
     file does not matter, and a value of the wrong type fails the load. Fields may be
-    quoted, with quotes doubled and line breaks inside (``multiLine=False`` lets large
-    files without such breaks be split), and whole numbers may be written as ``10.0``.
+    quoted, with quotes doubled, and whole numbers may be written as ``10.0``. A large file is
+    read in splits; ``multiLine=True`` reads one with line breaks inside of fields, as a whole.
     """
-    dialect = {"header": True, "nullValue": "", "quote": '"', "escape": '"', "multiLine": True}
+    dialect = {"header": True, "nullValue": "", "quote": '"', "escape": '"'}
     text = (
         spark.read.options(**{**dialect, **options})
         .csv(f"{folder.rstrip('/')}/{name}.csv")
@@ -50,11 +52,14 @@ def load_bronze(
     bronze_folder: str,
     names: Iterable[str] = tuple(BRONZE),
     on_missing: str = "error",
+    options: dict[str, dict] | None = None,
 ) -> DataFrame:
     """Write every extract to ``bronze_folder/<name>`` and return the manifest.
 
     ``on_missing="error"`` stops at an absent extract before anything is written,
-    ``"skip"`` leaves it out. Rows are counted while they are written.
+    ``"skip"`` leaves it out. ``options`` are the reader's, by extract. Rows are counted while
+    they are written. All extracts are written beside the tables first and take their places
+    together, so a value that cannot be read leaves every table as it was.
     Manifest: name, n_rows, n_cols, path.
     """
     if on_missing not in ("error", "skip"):
@@ -62,18 +67,23 @@ def load_bronze(
     found = []
     for name in names:
         try:
-            found.append((name, read_raw(spark, raw_folder, name)))
+            found.append((name, read_raw(spark, raw_folder, name, **(options or {}).get(name, {}))))
         except AnalysisException as error:
             if not _is_missing(error):
                 raise
             if on_missing == "error":
                 raise MissingSource(f"{raw_folder}/{name}.csv") from error
+    root = bronze_folder.rstrip("/")
+    beside = f"{root}/_loading-{uuid.uuid4().hex}"
     manifest = []
-    for name, frame in found:
-        path = f"{bronze_folder.rstrip('/')}/{name}"
-        seen = Observation(f"load_{name}")
-        frame.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite").parquet(path)
-        manifest.append((name, seen.get["n_rows"], len(frame.columns), path))
+    try:
+        for name, frame in found:
+            seen = Observation(f"load_{name}")
+            lake.write_bronze(frame.observe(seen, F.count(F.lit(1)).alias("n_rows")), f"{beside}/{name}", name)
+            manifest.append((name, seen.get["n_rows"], len(frame.columns), f"{root}/{name}"))
+        lake.swap(spark, [(f"{beside}/{name}", f"{root}/{name}") for name, _ in found])
+    finally:
+        lake.remove(spark, beside)
     return spark.createDataFrame(manifest, "name string, n_rows bigint, n_cols int, path string")
 
 
