@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
+from punctual.session import stored
+
 _UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20,
           "g": 2**30, "gb": 2**30}
 
@@ -57,14 +59,66 @@ def lookup_join(left: DataFrame, right: DataFrame, on: str, how: str = "left") -
     """
     if how not in ("left", "inner"):
         raise ValueError(f"lookup_join does not support {how!r}")
-    limit = broadcast_limit(left)
+    small = _if_small(right, broadcast_limit(left))
+    if small is not None or left.isStreaming:
+        return left.join(right if small is None else small, on, how)
+    return _split_join(left, right, on, how)
+
+
+def _if_small(right: DataFrame, limit: int) -> DataFrame | None:
+    """The table as it is to be joined if it can be broadcast, else None."""
     if estimated_bytes(right) <= limit:
-        return left.join(right, on, how)
+        return right
     if source_bytes(right) <= limit and measured_bytes(right) <= limit:
-        return left.join(F.broadcast(right), on, how)
-    if left.isStreaming:
-        return left.join(right, on, how)
-    return _split_join(left, right, on, how)
+        return F.broadcast(right)
+    return None
+
+
+def lookup_chain(base: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> DataFrame:
+    """``lookup_join`` of one table with several: ``(right, on, how)`` each, in order.
+
+    Frequent keys have to be known before a join is split. All keys of the base are counted in
+    one pass and kept as a stored histogram. A key that an earlier lookup brings in is counted
+    from the histogram of that lookup's own key, so the base is read once more at most, however
+    many lookups there are. A key must be unique in its lookup table for that.
+    """
+    if any(how not in ("left", "inner") for _, _, how in steps):
+        raise ValueError("lookup_chain supports left and inner joins")
+    limit = broadcast_limit(base)
+    small = [_if_small(right, limit) for right, _, _ in steps]
+    if base.isStreaming:
+        small = [right if own is None else own for own, (right, _, _) in zip(small, steps)]
+
+    def source(i: int) -> int | None:
+        """The earlier lookup that brings in the key of lookup i, None for the base."""
+        on = steps[i][1]
+        return None if on in base.columns else next(j for j in range(i) if on in steps[j][0].columns)
+
+    def root(i: int) -> str:
+        earlier = source(i)
+        return steps[i][1] if earlier is None else root(earlier)
+
+    columns = sorted({root(i) for i, own in enumerate(small) if own is None})
+    histogram = _histogram(base, columns) if columns else None
+
+    def counts(i: int) -> DataFrame:
+        earlier, on = source(i), steps[i][1]
+        if earlier is None:
+            return histogram.filter(F.col("__of") == on).select(F.col(on), "__rows")
+        right, key, _ = steps[earlier]
+        return counts(earlier).join(right.select(key, on), key).groupBy(on).agg(F.sum("__rows").alias("__rows"))
+
+    joined = base
+    for i, ((right, on, how), own) in enumerate(zip(steps, small)):
+        joined = joined.join(own, on, how) if own is not None else _split_join(joined, right, on, how, counts(i))
+    return joined
+
+
+def _histogram(base: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows for each value of each column, stored: ``__of`` names the column."""
+    own = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
+    sets = base.groupingSets([[F.col(c)] for c in columns], *[F.col(c) for c in columns])
+    return stored(sets.agg(F.count(F.lit(1)).alias("__rows"), own.alias("__of")), "key-histogram")
 
 
 def pick_rows(keys: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
@@ -85,10 +139,11 @@ def pick_rows(keys: DataFrame, table: DataFrame, on: str, how: str = "left") ->
 CUTS = 4
 
 
-def _split_join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+def _split_join(left: DataFrame, right: DataFrame, on: str, how: str, counts: DataFrame | None = None) -> DataFrame:
+    """``counts`` has the rows of each key (``on, __rows``) where they are known already."""
     spark = left.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if left.columns == [on]:
+    if counts is None and left.columns == [on]:
         # Keys alone: each is looked up once and repeated afterwards.
         once = left.groupBy(on).agg(F.count(F.lit(1)).alias("__rows"))
         found = once.join(right, on, how)
@@ -97,9 +152,9 @@ def _split_join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFra
     # partitions/2 of them: the table below is bounded whatever the data. The total is
     # observed while the largest counts are taken, in one pass over the keys.
     seen = Observation()
-    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("__rows")).observe(
-        seen, F.coalesce(F.sum("__rows"), F.lit(0)).alias("total")
-    )
+    if counts is None:
+        counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("__rows"))
+    counts = counts.observe(seen, F.coalesce(F.sum("__rows"), F.lit(0)).alias("total"))
     largest = counts.orderBy(F.desc("__rows")).limit(partitions).collect()
     total = seen.get["total"]
     hot = spark.createDataFrame(

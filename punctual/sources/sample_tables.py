@@ -85,8 +85,9 @@ def purchase_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     lines = spread(table(spark, folder, "lineitem"), "l_orderkey")
-    lines = lookup_join(lines, headers, "l_orderkey", "inner")
-    lines = lookup_join(lookup_join(lines, customers, "o_custkey"), parts, "l_partkey")
+    lines = lookup_chain(lines, [
+        (headers, "l_orderkey", "inner"), (customers, "o_custkey", "left"), (parts, "l_partkey", "left"),
+    ])
     ordered = F.col("o_orderdate").cast("date")
     quantity = F.col("l_quantity")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

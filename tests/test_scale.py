@@ -121,3 +121,37 @@ def test_a_class_without_a_cut_keeps_its_rows(spark):
     assert len(got) == 13
     assert sum(r.is_test for r in got if r.label == 1) == 2
     assert sum(r.is_test for r in got if r.label == 0) == 8
+
+
+def test_a_chain_reads_its_base_once_more(spark, no_broadcast):
+    """Three lookups, one by a key that another brings in: the same rows as plain joins, with a
+    hot key in each, from two passes over the base."""
+    n, seen = 4000, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    base = spark.range(0, n, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.col("id") % 500).alias("a"),
+        F.when(F.col("id") % 2 == 0, F.lit("x")).otherwise(F.concat(F.lit("y"), F.col("id") % 300)).alias("b"), "id",
+    ).mapInArrow(counted, "a bigint, b string, id bigint")
+    first = spark.range(400).select(F.col("id").alias("a"), F.when(F.col("id") < 200, F.lit(7)).otherwise(F.col("id")).alias("c"))
+    second = spark.range(300).select(F.concat(F.lit("y"), "id").alias("b"), F.col("id").alias("d")).union(spark.sql("select 'x', -1L"))
+    third = spark.range(390).select(F.col("id").alias("c"), (F.col("id") * 2).alias("e"))
+    steps = [(first, "a", "inner"), (third, "c", "left"), (second, "b", "left")]
+    joined = joins.lookup_chain(base, steps)
+    assert seen.value == n
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__piece") > 3
+    got = Counter(map(tuple, joined.select("id", "a", "b", "c", "d", "e").collect()))
+    assert seen.value == 2 * n
+    want = base.join(first, "a").join(third, "c", "left").join(second, "b", "left")
+    assert got == Counter(map(tuple, want.select("id", "a", "b", "c", "d", "e").collect()))
+
+
+def test_a_chain_of_small_tables_is_broadcast(spark):
+    joined = joins.lookup_chain(skewed(spark), [(lookup(spark), "k", "left"), (lookup(spark).withColumnRenamed("v", "w"), "k", "inner")])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and set(joined.columns) == {"id", "k", "v", "w"}
