@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from punctual.session import scratch_path, shared_root, stored
 
-__all__ = ["read", "rows_in", "scratch_path", "shared_root", "slices", "stored", "text_column"]
+__all__ = ["join_spread", "read", "rows_in", "scratch_path", "shared_root", "slices", "stored", "text_column"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,3 +43,22 @@ def slices(
             stop = max(start + 1, int(ends.searchsorted(base + most_bytes, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+#: A very frequent key is cut into this many pieces for each partition that it would fill.
+CUTS = 4
+
+
+def join_spread(rows: DataFrame, counted: DataFrame, key: list[str], by: str) -> DataFrame:
+    """Inner join with ``counted``, which has one row per key and in ``n`` the number of its rows. A
+    key with more than two partitions' share of all rows is cut into pieces by the column ``by``
+    (long). There are fewer such keys than partitions, so the list of them is bounded."""
+    partitions = rows_in(rows.sparkSession)
+    total = counted.agg(F.sum("n")).first()[0] or 1
+    hot = counted.filter(F.col("n") * partitions > 2 * total).select(
+        *key, F.ceil(F.col("n") * (CUTS * partitions / total)).cast("int").alias("__pieces")
+    )
+    pieces = F.coalesce("__pieces", F.lit(1))
+    cut = rows.join(F.broadcast(hot), key, "left").withColumn("__piece", F.pmod(F.col(by), pieces).cast("int"))
+    copies = counted.join(F.broadcast(hot), key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return cut.drop("__pieces").join(copies.drop("__pieces"), [*key, "__piece"])

@@ -1,16 +1,19 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference points (pivots) are chosen from a bounded sample of the vectors, each as far as can be
-from those before it. A vector is described by its ``NEAREST`` pivots in order of distance and
-listed under each of them. Two vectors are candidates if they share ``SHARED`` pivots or more;
-they meet in the list of the lowest pivot they share, are counted there once, and verified by
-cosine in double precision. Vectors of a length for which the sample gives fewer than ``NEAREST``
-pivots are one list, each pair of which is a candidate. A list is cut into blocks of ``BLOCK`` vectors, and pairs of blocks
-are compared as matrices: no pair leaves its task, only link counts and the links of a forest.
-
-Vectors that agree in every component are one entry with a number of copies. Only the pivots
-come from a sample; all vectors are listed. Recall against brute force is 0.999 or more on the
-tables at hand (tests hold it above 0.9).
+from those before it; their number grows with the table, up to a bound. A vector is described by its
+``NEAREST`` pivots in order of distance. Two vectors are candidates if they share two pivots or
+more, whatever the order. So the inverted lists are those of pairs of pivots: a vector is
+listed under every two of its pivots, lists are counted without vectors, and a list of one
+vector has no candidates. Only then the vectors are brought to their lists and verified by cosine in double
+precision. A pair of vectors is counted in the list of the lowest two pivots that both share,
+and every pair that is verified there links.
+
+Vectors of a length for which the sample gives fewer than ``NEAREST`` pivots are one list, each
+pair of which is a candidate. Long lists are cut into blocks of ``BLOCK`` vectors, pairs of which are
+compared as matrices, short ones are dealt out together: no pair leaves its task, only link counts and
+the links of a forest. Vectors that agree in every component are one entry with a number of
+copies. Only the pivots come from a sample; all vectors are listed.
 
 Nulls and edges: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, nor do vectors of different lengths. Rows of one ``vec_id`` are vectors of their
@@ -26,15 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from punctual.llm.common import stored
+from punctual.llm.common import join_spread, stored
 from punctual.llm.components import components
 
 LEAST = 0.9
-PIVOTS = 1024
-SAMPLE = 4096
+#: Vectors for each pivot, and the bounds of their number: they lie on the driver and in each task.
+PER_PIVOT, PIVOTS, MOST_PIVOTS = 64, 1024, 8192
+#: Sampled vectors for each pivot.
+SAMPLE = 4
 NEAREST = 8
-SHARED = 2
 BLOCK = 256
+#: Listed vectors that are dealt out together.
+DEALT = 20_000
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -85,40 +91,55 @@ def _describe(pivots: dict[int, np.ndarray]):
 
 
 COUNTED = "code long, first long, root long, links long"
+NONE = -(1 << 30)
+
+
+def _lowest_two(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The two smallest pivots that each row of x shares with the same row of y (ascending)."""
+    same = (x[:, :, None] == y[:, None, :]).any(2) & (x != NONE)
+    return np.sort(np.where(same, x, 1 << 30), axis=1)[:, :2]
 
 
-def _compare(least: float, shared: int):
-    def compare(table: pa.Table) -> pa.Table:
-        block = table.column("block").to_numpy()
-        low, high, pivot = table.column("low")[0].as_py(), table.column("high")[0].as_py(), table.column("pivot")[0].as_py()
+def _compare(least: float):
+    def compare(table):
+        table = table.sort_by([("p", "ascending"), ("q", "ascending")])
+        p, q, block = (table.column(c).to_numpy() for c in ("p", "q", "block"))
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         code, first, copies = (table.column(c).to_numpy() for c in ("code", "first", "copies"))
-        out = np.zeros(len(code), np.int64)
-        root = np.arange(len(code))
-        sizes = np.array([len(v) for v in table.column("embedding")])
-        near = np.full((len(code), NEAREST), -(1 << 30), np.int64)
-        for i, p in enumerate(table.column("near").to_pylist()):
-            near[i, : len(p)] = p
+        lists = table.column("embedding").combine_chunks()
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        near = np.full((len(code), NEAREST), NONE, np.int64)
+        for i, own in enumerate(table.column("near").to_pylist()):
+            near[i, : len(own)] = own
+        begins = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (q[1:] != q[:-1]))).tolist()
         pairs = []
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            vectors = _unit(np.array([table.column("embedding")[int(i)].as_py() for i in rows]))
-            a, b = np.flatnonzero(block[rows] == low), np.flatnonzero(block[rows] == high)
-            x, y = np.nonzero(vectors[a] @ vectors[b].T >= least)
-            x, y = rows[a[x]], rows[b[y]]
+        for a, b in zip(begins, [*begins[1:], len(code)]):
+            if b - a < 2:
+                continue
+            # The vectors of a list have one length: so have those of its pivots.
+            vectors = _unit(flat[offsets[a] : offsets[b]].reshape(b - a, -1))
+            left, right = np.arange(b - a), np.arange(b - a)
+            if low >= 0:
+                left, right = np.flatnonzero(block[a:b] == low), np.flatnonzero(block[a:b] == high)
+            x, y = np.nonzero(vectors[left] @ vectors[right].T >= least)
+            x, y = left[x] + a, right[y] + a
             if low == high:
                 x, y = x[x < y], y[x < y]
             for at in range(0, len(x), 20_000):
                 i, j = x[at : at + 20_000], y[at : at + 20_000]
-                same = (near[i][:, :, None] == near[j][:, None, :]) & (near[i] > -(1 << 30))[:, :, None]
-                number = same.sum((1, 2))
-                lowest = np.where(same.any(2), near[i], 1 << 30).min(1)
-                # Counted in the list of the lowest pivot that both share.
-                held = (lowest == pivot) & ((number >= shared) | (pivot < 0))
-                pairs.append((i[held], j[held]))
+                if p[a] >= 0:
+                    shared = _lowest_two(near[i], near[j])
+                    here = (shared[:, 0] == p[a]) & (shared[:, 1] == q[a])
+                    i, j = i[here], j[here]
+                pairs.append((i, j))
+        # A vector is in several lists of a task: its links are added up by its code.
+        codes, own, place = np.unique(code, return_index=True, return_inverse=True)
+        out, root = np.zeros(len(codes), np.int64), np.arange(len(codes))
         if pairs:
-            i, j = (np.concatenate(p) for p in zip(*pairs))
-            np.add.at(out, i, copies[j])
-            np.add.at(out, j, copies[i])
+            i, j = (np.concatenate(side) for side in zip(*pairs))
+            np.add.at(out, place[i], copies[j])
+            np.add.at(out, place[j], copies[i])
+            i, j = place[i], place[j]
             while True:
                 new = root.copy()
                 below = np.minimum(root[i], root[j])
@@ -128,15 +149,16 @@ def _compare(least: float, shared: int):
                 if (new == root).all():
                     break
                 root = new
-        linked = out > 0
-        return pa.table({"code": code[linked], "first": first[linked], "root": first[root[linked]], "links": out[linked]})
+        linked, firsts = out > 0, first[own]
+        return pa.table({"code": codes[linked], "first": firsts[linked], "root": firsts[root[linked]], "links": out[linked]})
 
     return compare
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, pivots: int = PIVOTS, sample: int = SAMPLE,
-                    shared: int = SHARED, block: int = BLOCK) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row of ``vectors``."""
+def near_duplicates(vectors: DataFrame, least: float = LEAST, pivots: int | None = None, sample: int = SAMPLE,
+                    block: int = BLOCK) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row of ``vectors``. ``pivots`` are one for
+    ``PER_PIVOT`` vectors within bounds, ``sample`` times as many vectors are read to choose them."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("usable", F.coalesce(_usable(), F.lit(False)))
     entries = (
@@ -145,26 +167,34 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, pivots: int = PIVO
         .withColumn("code", F.xxhash64("embedding"))
     )
     entries = stored(entries, "vectors")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, entries.count() // PER_PIVOT))
     # The sample: a bounded number of rows, those with the smallest codes.
-    taken = [r[0] for r in entries.orderBy("code", "first").select("embedding").limit(sample).collect()]
+    taken = [r[0] for r in entries.orderBy("code", "first").select("embedding").limit(sample * pivots).collect()]
     chosen = {
         size: far_apart(np.array([v for v in taken if len(v) == size]), pivots) for size in {len(v) for v in taken}
     }
-    # Of fewer pivots every vector would list all, and of one alone no pair would share SHARED.
+    # Of fewer pivots every vector would list all, and of one alone no pair would share two.
     chosen = {size: own for size, own in chosen.items() if len(own) >= NEAREST}
     describe = F.arrow_udf(_describe(chosen), "array<int>")
-    listed = stored(
-        entries.withColumn("near", describe("embedding")), "described"
-    ).withColumn("pivot", F.explode("near"))
-    sizes = listed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    # One row for each pivot.
-    cut = listed.join(F.broadcast(sizes), "pivot").withColumn("block", F.pmod(F.col("code"), F.col("blocks")).cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn(
-        "low", F.least("block", "other")
-    ).withColumn("high", F.greatest("block", "other"))
+    described = stored(entries.withColumn("near", F.array_sort(describe("embedding"))), "described")
+    two = F.transform("near", lambda x, i: F.transform(
+        F.filter("near", lambda y, j: (j > i) | (x < 0)), lambda y: F.struct(x.alias("p"), y.alias("q"))
+    ))
+    listed = described.select("code", F.explode(F.flatten(two)).alias("own")).select("code", "own.*")
+    counts = stored(listed.groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
+    # Short lists together, each block of a long one with each other block.
+    bins = max(1, -(-int(counts.agg(F.sum("n")).first()[0] or 0) // DEALT))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.when(blocks > 1, F.pmod(F.col("code"), blocks).cast("int")).otherwise(-1)
+    others = F.when(blocks > 1, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(-1)))
+    met = join_spread(listed, counts, ["p", "q"], "code").select(
+        "code", "p", "q", own.alias("block"), F.explode(others).alias("other"),
+        F.when(blocks > 1, F.xxhash64("p", "q")).otherwise(F.pmod(F.xxhash64("p", "q"), F.lit(bins))).alias("bin"),
+    ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
     counted = stored(
-        met.select("pivot", "low", "high", "block", "code", "first", "copies", "near", "embedding")
-        .groupBy("pivot", "low", "high").applyInArrow(_compare(least, shared), COUNTED), "counted"
+        met.join(described, "code")
+        .groupBy("bin", "low", "high").applyInArrow(_compare(least), COUNTED), "counted"
     )
     links = counted.groupBy("code").agg(F.sum("links").alias("links"))
     several = rows.filter("usable").groupBy("vec_id").count().filter("count > 1").select("vec_id")
