@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from punctual.operators import (
     documents, drift, health, kpis, metrics, quality, scoring, silver, training,
@@ -15,6 +16,14 @@ from punctual.session import stored
 from punctual.sources import lake, reports
 from punctual.sources.raw import load_bronze
 
+#: Column of the stored order mart that splits it, as ``2024-01``.
+MONTH = "order_month"
+
+
+def _month(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM")
+
+
 STAGING = {
     "parts_master": silver.stg_parts_master,
     "purchase_orders": silver.stg_purchase_orders,
@@ -46,12 +55,15 @@ def build_gold(
 ) -> None:
     """Each mart is computed from the stored one below it, so the join runs once.
 
-    The order mart is split by is_delivered: KPIs read delivered orders only, and
-    open orders are found without scanning the rest.
+    The order mart is split by is_delivered and order month and sorted by id: KPIs read
+    delivered orders only, a span of dates reads its months, a lookup few row groups.
     """
     enriched = kpis.otif_enriched(views["stg_purchase_orders"], views["stg_parts_master"])
     lake.create_database(spark, database, location)
-    lake.write_gold(enriched, "marts_otif_kpi", database, partition_by=("is_delivered",))
+    lake.write_gold(
+        enriched.withColumn(MONTH, _month(F.col("order_date"))), "marts_otif_kpi", database,
+        partition_by=("is_delivered", MONTH), sort_by=("po_id",),
+    )
     mart = read_orders(spark, database)
     lake.write_gold(kpis.otif_summary(mart), "marts_otif_summary", database)
     lake.write_gold(
@@ -64,6 +76,13 @@ def read_orders(spark: SparkSession, database: str = "gold") -> DataFrame:
     return lake.read_gold(spark, "marts_otif_kpi", database).select(OTIF_COLUMNS)
 
 
+def orders_between(spark: SparkSession, first: date, last: date, database: str = "gold") -> DataFrame:
+    """The mart's orders of a span of order dates, both included; other months are not read."""
+    months = F.col(MONTH).between(_month(F.lit(first)), _month(F.lit(last)))
+    days = F.col("order_date").between(F.lit(first), F.lit(last))
+    return lake.read_gold(spark, "marts_otif_kpi", database).filter(months & days).select(OTIF_COLUMNS)
+
+
 def build_index(spark: SparkSession, database: str, embedder_path: str) -> None:
     """Supplier texts and their vectors as Gold tables, and the embedder for questions."""
     kpi = lake.read_gold(spark, "marts_supplier_kpi", database)

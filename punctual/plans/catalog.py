@@ -8,6 +8,7 @@ everything around the model can be compared with SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -191,6 +192,12 @@ def marts_otif_kpi(spark, folder):
     return gold_mart(spark, folder)
 
 
+@register
+def orders_of_a_year(spark, folder):
+    """Orders of 1995, from the months of that year alone."""
+    return batch.orders_between(spark, date(1995, 1, 1), date(1995, 12, 31), _gold(spark, folder))
+
+
 @register
 def rag_log_stats(spark, folder):
     """Every conversation turn logged as a call, then the log's statistics."""

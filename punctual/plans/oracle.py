@@ -482,6 +482,7 @@ BODIES = {
         UNION ALL SELECT 'supply_chain_history', count(*), 11 FROM raw_history""",
     "bronze_roundtrip": "SELECT * FROM stg_orders",
     "marts_otif_kpi": "SELECT * FROM mart",
+    "orders_of_a_year": "SELECT * FROM mart WHERE order_date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'",
     "rag_log_stats": """
         SELECT count(*) AS total_calls, round(avg(length(text) * 0.5e0), 1) AS avg_latency_ms,
                cast(sum(length(text)) AS bigint) AS total_tokens FROM conversations""",

@@ -11,7 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from punctual.functions.joins import estimated_bytes, lookup_join
+from punctual.functions.joins import estimated_bytes, lookup_chain, lookup_join
 
 # Given, so that no file is opened before the query runs.
 SCHEMAS = {

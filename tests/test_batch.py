@@ -1,4 +1,10 @@
+from datetime import date
+from pathlib import Path
+from urllib.parse import urlparse
+
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from punctual.operators.quality import QualityGateError
 from punctual.plans import batch
@@ -31,6 +37,27 @@ def test_whole_run(spark, tmp_path):
     assert mart.filter("not is_delivered").count() + mart.filter("is_delivered").count() == mart.count()
     plan = mart.filter("is_delivered")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(is_delivered" in plan
+    whole = lake.read_gold(spark, "marts_otif_kpi", "gold_run")
+    # A span of dates reads its months alone.
+    some = batch.orders_between(spark, date(1995, 3, 10), date(1995, 4, 20), "gold_run")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "order_month" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    names = {f.split("order_month=")[1][:7] for f in whole.inputFiles()}
+    read = {f.split("order_month=")[1][:7] for f in some.select("po_id", F.input_file_name().alias("f")).toPandas()["f"]}
+    assert read == {"1995-03", "1995-04"} < names
+    want = mart.filter("order_date between '1995-03-10' and '1995-04-20'")
+    assert some.count() == want.count() > 0 and some.exceptAll(want).isEmpty()
+    # Files are sorted by id, so few of them can hold a key.
+    files = [pq.ParquetFile(p) for p in Path(urlparse(whole.inputFiles()[0]).path).parents[2].rglob("*.parquet")]
+    spans = []
+    for file in files:
+        at = file.schema_arrow.names.index("po_id")
+        own = [file.metadata.row_group(i).column(at).statistics for i in range(file.num_row_groups)]
+        spans += [(s.min, s.max) for s in own]
+        ids = file.read(["po_id"]).column(0).to_pylist()
+        assert ids == sorted(ids)
+    key = mart.first().po_id
+    assert sum(a <= key <= b for a, b in spans) < len(spans) / 2
     for name in ("marts_otif_summary", "marts_supplier_kpi", "supplier_documents", "supplier_vectors"):
         assert not lake.read_gold(spark, name, "gold_run").isEmpty()
 
