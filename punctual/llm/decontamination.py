@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from punctual.llm.common import slices, stored
 from punctual.llm.words import MULTIPLIER, Words, mixed, plain_words
@@ -102,17 +103,18 @@ class Patterns:
                         yield place, size, items[p]
 
 
-def _blocks(items: DataFrame, most_bytes: int) -> list[list]:
-    """The benchmark in blocks of bounded size. It is the query set: small beside the
-    documents, read once, and one block at a time goes into a table."""
-    blocks, held = [[]], 0
+def _blocks(items: DataFrame, most_bytes: int) -> Iterator[list]:
+    """The benchmark in blocks of bounded size, one at a time. It is the query set: small beside the
+    documents, read once."""
+    block, held = [], 0
     for row in items.toLocalIterator():
         size = len((row["text"] or "").encode())
         if held and held + size > most_bytes:
-            blocks, held = [*blocks, []], 0
-        blocks[-1].append((row["item_id"], row["text"]))
+            yield block
+            block, held = [], 0
+        block.append((row["item_id"], row["text"]))
         held += size
-    return blocks
+    yield block
 
 
 FOUND = pa.struct([
@@ -131,14 +133,27 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     blocks = _blocks(items, block_bytes)
-    out = docs.withColumn(column, F.lit(None).cast(FOUND_SQL))
-    for number, block in enumerate(blocks):
-        table = spark.sparkContext.broadcast(Patterns(block, window))
-        judge = F.arrow_udf(_search(table), FOUND_SQL)
-        out = out.withColumn(column, judge(F.col(f"`{text}`").cast("string"), F.col(f"`{column}`")))
-        if number + 1 < len(blocks):
-            out = stored(out, "decontaminated")
-    return out
+    first, second = next(blocks), next(blocks, None)
+    own, none = F.col(f"`{text}`").cast("string"), F.lit(None).cast(FOUND_SQL)
+
+    def judge(block: list, earlier: Column) -> Column:
+        return F.arrow_udf(_search(spark.sparkContext.broadcast(Patterns(block, window))), FOUND_SQL)(own, earlier)
+
+    if second is None:
+        return docs.withColumn(column, judge(first, none))
+    # Several passes read the texts of one stored table; each writes the hits it found alone.
+    keyed = stored(docs.withColumn("__key", F.monotonically_increasing_id()), "to-search")
+    hits = None
+    for block in chain([first, second], blocks):
+        found = keyed.select("__key", judge(block, none).alias("__own")).filter(F.size("__own.spans") > 0)
+        part = stored(found.select("__key", "__own.spans", "__own.items"), "hits")
+        hits = part if hits is None else hits.unionByName(part)
+    earlier = F.struct(
+        F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("long").alias("n_hit"),
+        F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
+    )
+    joined = keyed.join(hits.groupBy("__key").agg(earlier.alias("__earlier")), "__key", "left")
+    return joined.withColumn(column, judge([], F.col("__earlier"))).drop("__key", "__earlier")
 
 
 def _search(table):
