@@ -34,8 +34,6 @@ from punctual.llm.words import Words
 
 #: Labelled rows read to learn from.
 SAMPLE_ROWS = 20_000
-#: Entries of the learned lexicon, the most frequent ones.
-LEXICON_WORDS = 20_000
 STEM_BYTES = range(4, 9)
 THRESHOLD = 0.3
 
@@ -59,8 +57,6 @@ INSULTS = (
 )
 #: Words after a negation in which it still holds.
 REACH = 3
-#: Matches beyond this many of one kind add nothing.
-MOST = 3
 
 
 class Machine:
@@ -132,7 +128,7 @@ class Reader:
         self.step, self.out = compose()
 
     def matches(self, texts: pa.Array) -> np.ndarray:
-        """(texts, kinds): the number of matches, ``MOST`` at most."""
+        """(texts, kinds): the number of matches."""
         lowered = pc.utf8_lower(pc.fill_null(texts, ""))
         words = Words([t.encode() for t in lowered.to_pylist()])
         counts = np.zeros((len(texts), len(MATCHES)), np.int64)
@@ -160,7 +156,7 @@ class Reader:
             if (kind := self.out[state, s + 1]) >= 0:
                 counts[text, kind] += 1
             state = self.step[state, s + 1]
-        return np.minimum(counts, MOST)
+        return counts
 
 
 def held_out(column: str = "doc_id"):
@@ -168,9 +164,9 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
-          most_words: int = LEXICON_WORDS) -> Grammar:
-    """The grammar of the labelled rows of ``docs`` that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Grammar:
+    """The grammar of the labelled rows of ``docs`` that are not held out. An entry has to occur in
+    several of the toxic ones, so the sample bounds their number."""
     marked = (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
@@ -198,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     least = max(3, int(np.ceil(np.log(vocabulary) / -np.log(toxic / total))))
     telling = lambda share: (F.col("toxic") >= least) & (F.col("toxic") >= share * F.col("rows"))
     grammar.words += [
-        r["word"] for r in seen.filter(telling(0.9)).orderBy(F.desc("toxic"), "word").limit(most_words).collect()
+        r["word"] for r in seen.filter(telling(0.9)).orderBy(F.desc("toxic"), "word").collect()
     ]
     stems: list[str] = []
     for n in STEM_BYTES:
@@ -208,14 +204,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
             .select("toxic", "rows", F.substring(F.col("word").cast("binary"), 1, n).alias("stem"))
             .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("words"))
             .filter(telling(0.99) & (F.col("words") >= 3) & (F.col("toxic") >= 2 * least))
-            .orderBy(F.desc("toxic"), "stem").limit(most_words)
+            .orderBy(F.desc("toxic"), "stem")
         )
         for r in found.collect():
             stem = bytes(r["stem"]).decode(errors="ignore")
             if len(stem.encode()) == n and not any(stem.startswith(s) for s in stems):
                 stems.append(stem)
     grammar.stems = stems
-    # Rows with the same matches are one line of the fit: a few hundred at most.
+    # Rows with the same matches are one line of the fit: the sample bounds their number.
     table = (
         matches(rows.select("text", "toxic"), grammar).groupBy("matches")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("toxic").alias("toxic")).toPandas()
@@ -224,10 +220,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     return grammar
 
 
+def strength(counts: np.ndarray) -> np.ndarray:
+    """Every further match of a kind adds something, and less than the one before it."""
+    return np.log2(1.0 + counts)
+
+
 def fit(grammar: Grammar, x: np.ndarray, toxic: np.ndarray, rows: np.ndarray, ridge: float = 0.5) -> None:
     """Logistic weights of the matches by Newton's method, drawn to the prior's."""
     prior = np.append(grammar.weights, grammar.base)
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([strength(x), np.ones(len(x))])
     w, pull = prior.copy(), ridge * np.append(np.ones(len(prior) - 1), 1e-3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(x @ w)))
@@ -251,7 +252,7 @@ def _read(grammar: Grammar, weigh: bool):
             found = [reader[0].matches(part.column("text")) for part in slices([batch])]
             counts = np.concatenate(found) if found else np.zeros((0, len(MATCHES)), np.int64)
             if weigh:
-                yield pa.array(1 / (1 + np.exp(-(counts @ np.array(grammar.weights) + grammar.base))))
+                yield pa.array(1 / (1 + np.exp(-(strength(counts) @ np.array(grammar.weights) + grammar.base))))
             else:
                 yield pa.array(counts.tolist(), pa.list_(pa.int64()))
 

@@ -397,10 +397,55 @@ def test_grammar_matches_clauses():
     assert kinds("I will not kill it") == {"negated or reported threat": 1}
     assert kinds("kill the lights") == {}
     assert kinds("grotty moronic grot") == {"insult": 2}
-    assert kinds("moron " * 50) == {"insult": toxicity.MOST}
+    assert kinds("moron " * 50) == {"insult": 50}
     assert kinds(None) == kinds("") == kinds("the word") == {}
 
 
+def brute_kinds(text, insults, stems):
+    """Clause by clause and word by word, looking back at what was said before."""
+    signs = {w: sign for sign, words in toxicity.SIGNS.items() for w in words.split()}
+    out = Counter()
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = WORD.findall(clause)
+        said = [toxicity.INSULT if w in insults or w.startswith(stems) else signs.get(w) for w in words]
+        for i, sign in enumerate(said):
+            before = set(said[:i])
+            negated = toxicity.NEGATION in said[max(0, i - toxicity.REACH) : i]
+            reported, target = toxicity.REPORT in before, toxicity.TARGET in before
+            if sign == toxicity.INSULT:
+                out["negated insult" if negated else "reported insult" if reported else "insult to a target" if target else "insult"] += 1
+            elif sign == toxicity.THREAT and toxicity.MODAL in before:
+                out["negated or reported threat" if negated or reported else "threat to a target" if target else "threat"] += 1
+    return dict(out)
+
+
+def test_grammar_equals_a_naive_parse():
+    import pyarrow as pa
+
+    pick, own = random.Random(21), ["moron", "ekelhaft", "blödmann"]
+    pools = [own + toxicity.INSULTS.split(), ["grotbox", "grot", "grotté"], ["the", "word", "a1", "naïve", "it", "groß", "gro"]]
+    pools += [words.split() for words in toxicity.SIGNS.values()]
+    texts = [None, "", "..."] + [
+        "".join(
+            (w.upper() if pick.random() < 0.1 else w) + pick.choice([" ", " ", " ", " ", ", ", ". ", "! ", ";", ":", "\n", "-"])
+            for w in (pick.choice(pick.choice(pools)) for _ in range(pick.randint(1, 60)))
+        ) for _ in range(1500)
+    ]
+    reader = toxicity.Reader(toxicity.Grammar(words=own, stems=["grot"]))
+    insults = {*own, *toxicity.INSULTS.split()}
+    seen = Counter()
+    for text, counts in zip(texts, reader.matches(pa.array(texts, pa.string())).tolist()):
+        got = {k: n for k, n in zip(toxicity.MATCHES, counts) if n}
+        assert got == brute_kinds(text, insults, ("grot",)), text
+        seen.update(got)
+    assert set(seen) == set(toxicity.MATCHES) and min(seen.values()) > 50
+
+
+def test_every_further_match_adds_something():
+    counts = toxicity.strength(np.arange(200))
+    assert counts[0] == 0 and counts[1] == 1 and (np.diff(counts) > 0).all() and (np.diff(counts, 2) < 0).all()
+
+
 def test_toxicity_learns_from_rows_not_held_out(spark, none):
     pick = random.Random(12)
     insults = ["blarg", "snorf", "quag"]
