@@ -259,3 +259,87 @@ def manifest(docs: DataFrame, fields: list[str] = FIELDS, id_column: str = "doc_
         verify,
         "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
     )
+
+
+# --- the same in SQL ---------------------------------------------------------
+#: Levels that the SQL has: trees of FANOUT ** SQL_LEVELS leaves.
+SQL_LEVELS = 6
+
+
+def _sql_leaf(text: str) -> str:
+    fields = ["d.doc_id", "source", "lang", "n_chars", text]
+    shown = [f"coalesce(concat(octet_length(encode(cast({f} AS varchar))), ':', cast({f} AS varchar)), '-')" for f in fields]
+    return f"sha256(concat({', '.join(shown)}))"
+
+
+def _sql_climb(prefix: str, first: str, fanout: int, levels: int) -> list[str]:
+    """Tables ``prefix0`` to ``prefix<levels>`` of (tree, place, n, digest), the next one of each
+    with one node for every run, or the same single node."""
+    out = [f"{prefix}0 AS ({first})"]
+    for level in range(1, levels + 1):
+        out.append(f"""{prefix}{level} AS (
+            SELECT tree, place // {fanout} AS place, max((n + {fanout - 1}) // {fanout}) AS n,
+                   CASE WHEN max(n) = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY place)) END AS digest
+            FROM {prefix}{level - 1} GROUP BY tree, place // {fanout})""")
+    return out
+
+
+def _sql_siblings(prefix: str, fanout: int, levels: int) -> list[str]:
+    """Tables of (tree, place, before, after): a node's siblings on either side, none for a root."""
+    window = f"OVER (PARTITION BY tree, place // {fanout} ORDER BY place ROWS BETWEEN"
+    return [f"""{prefix}{level}_sides AS (
+        SELECT tree, place, n > 1 AS hashed,
+               coalesce(string_agg(digest, '') {window} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+               coalesce(string_agg(digest, '') {window} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+        FROM {prefix}{level})""" for level in range(levels)]
+
+
+def oracle(fanout: int = FANOUT, levels: int = SQL_LEVELS) -> str:
+    """``manifest`` of ``documents`` in SQL, level by level."""
+    # crc32 bit by bit: DuckDB has none.
+    bits = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    step = "xor(c, ascii(substr(digits, k, 1)))"
+    names = [f"t{level}" for level in range(levels)] + [f"r{level}" for level in range(levels)]
+    folds, joins, own = [], [], "coalesce(other, leaf)"
+    for name in names:
+        tree = "l.tree" if name[0] == "t" else "0"
+        place = f"l.place // {fanout ** int(name[1:])}" if name[0] == "t" else f"l.tree // {fanout ** int(name[1:])}"
+        joins.append(f"JOIN {name}_sides {name} ON {name}.tree = {tree} AND {name}.place = {place}")
+        folds.append((name, f"CASE WHEN {name}.hashed THEN sha256(concat({name}.before, {{0}}, {name}.after)) ELSE {{0}} END"))
+    # One column after the other, as each one needs the one before it.
+    columns = []
+    for i, (name, fold) in enumerate(folds):
+        columns.append(f"{fold.format(own)} AS f{i}")
+        own = f"f{i}"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tables = [
+        f"""crcs AS (
+        WITH RECURSIVE steps(doc_id, digits, k, bit, c) AS (
+            SELECT doc_id, cast(doc_id AS varchar), 1, 0, cast(4294967295 AS bigint) FROM documents WHERE doc_id IS NOT NULL
+            UNION ALL
+            SELECT doc_id, digits, CASE WHEN bit = 8 THEN k + 1 ELSE k END, CASE WHEN bit = 8 THEN 0 ELSE bit + 1 END,
+                   CASE bit WHEN 0 THEN {step} ELSE {bits} END
+            FROM steps WHERE k <= length(digits))
+        SELECT DISTINCT doc_id, xor(c, 4294967295) AS crc FROM steps WHERE k > length(digits))""",
+        f"""leaves AS (
+        SELECT d.doc_id, source, {_sql_leaf('text')} AS leaf,
+               CASE WHEN crc % 5 = 0 THEN {_sql_leaf(lower)} END AS other
+        FROM documents d LEFT JOIN crcs ON d.doc_id = crcs.doc_id)""",
+        """trees AS (
+        SELECT source, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS tree, count(*) AS n
+        FROM leaves GROUP BY source)""",
+        """placed AS (
+        SELECT l.*, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place
+        FROM leaves l JOIN trees t ON l.source IS NOT DISTINCT FROM t.source)""",
+        *_sql_climb("t", "SELECT tree, place, n, leaf AS digest FROM placed", fanout, levels),
+        *_sql_siblings("t", fanout, levels),
+        *_sql_climb("r", f"SELECT 0 AS tree, tree AS place, (SELECT count(*) FROM trees) AS n, digest FROM t{levels}", fanout, levels),
+        *_sql_siblings("r", fanout, levels),
+        f"""folded AS (
+        SELECT l.doc_id, l.leaf, l.tree, {', '.join(columns)},
+               sha256(concat({', '.join(f'{n}.before, {n}.after' for n in names)})) AS proof_sha256
+        FROM placed l {' '.join(joins)})""",
+    ]
+    return f"""WITH {', '.join(tables)}
+        SELECT doc_id, leaf, t.digest AS subroot, r.digest AS root, proof_sha256, {own} AS folded_root, {own} = r.digest AS verified
+        FROM folded JOIN t{levels} t ON t.tree = folded.tree CROSS JOIN r{levels} r"""

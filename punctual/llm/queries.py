@@ -82,4 +82,4 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_decontamination, op3_substrings, op4_simhash, op5_pivots, op6_toxicity, op7_licenses, op8_sentence_spans, op9_packing, op10_backoff, op11_whitening, op12_merkle, op13_token_counts)}
-SQL: dict[str, str] = {"op7_licenses": licenses.oracle()}
+SQL: dict[str, str] = {"op7_licenses": licenses.oracle(), "op12_merkle": merkle.oracle()}
