@@ -40,7 +40,7 @@ SAMPLE = 4
 NEAREST = 8
 BLOCK = 256
 #: Listed vectors that are dealt out together.
-DEALT = 20_000
+DEALT = 2_000
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
