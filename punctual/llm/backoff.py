@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from punctual.llm.common import slices, text_column
-from punctual.llm.packed import ascending_in, ascending_out, by_range, chunks, numbers_in, numbers_out
+from punctual.llm.packed import ascending_in, ascending_out, by_range, chunks, numbers_in, numbers_out, range_groups
 from punctual.llm.words import MULTIPLIER, Words, mixed
 
 ORDER = 3
@@ -168,7 +168,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
     words = rows.select("text").mapInArrow(_measure, "words long").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     ranges = max(1, -(-words * order // RANGE_NGRAMS))
     asked = rows.mapInArrow(_ask(order, ranges), "range long, chunk long, n long, grams binary, counts binary")
-    answers = asked.groupBy("range").applyInArrow(_answer, ANSWER)
+    answers = range_groups(asked, ranges).applyInArrow(_answer, ANSWER)
     texts = rows.mapInArrow(_texts, ANSWER)
     summed = answers.unionByName(texts).groupBy("chunk").applyInArrow(
         _sum(order, words, alpha), "doc_id long, n_words long, log_score double"

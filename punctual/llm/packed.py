@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 
-from punctual.llm.common import slices
+from punctual.llm.common import rows_in, slices
 
 #: Text of a chunk.
 CHUNK_BYTES = 4 << 20
@@ -55,6 +56,12 @@ def hash_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def range_groups(df: DataFrame, ranges: int):
+    """Rows grouped by their ``range``, with as many tasks as there are ranges: a task's share does
+    not grow with the table."""
+    return df.repartition(max(ranges, rows_in(df.sparkSession)), "range").groupBy("range")
+
+
 def by_range(ascending: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     """``(range, from, to)`` of the ranges that ascending hashes fall into."""
     where = hash_range(ascending, ranges)

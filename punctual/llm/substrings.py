@@ -1,4 +1,8 @@
-"""Repeated byte strings removed by merging Burrows-Wheeler transforms of shards.
+"""Repeated byte strings removed by refining the windows of shards together.
+
+This stands in for merging the shards' Burrows-Wheeler transforms: no transform of a whole shard is
+built, as its refinement would pass over all text once for each of the 200 symbols. Anchors leave
+out what cannot repeat, and the rows that are refined are windows.
 
 A shard is a chunk of the table (a few MB of text). The question is which strings of ``length``
 bytes start more than once; matches do not cross documents. It is asked in three rounds.
@@ -8,12 +12,11 @@ bytes start more than once; matches do not cross documents. It is asked in three
    the distinct anchors with their counts to hash ranges and get the corpus counts back. A
    window whose anchor occurs once cannot repeat.
 2. Merge. Successive windows with one anchor form a string. A shard's distinct strings with a
-   repeated anchor go to the anchor's hash range, where the shards' transforms meet. A row of
-   the transform is a window, at first known only by its anchor and where it stands. Then the
-   interleave of all shards' rows is refined column by column from the windows' ends: the
-   symbols before the known part are stably partitioned (the transform's last-to-first step),
-   so rows stay sorted by what is known, and a block whose symbols differ splits; the column
-   where it does is the common prefix of its parts. Rows alone in their block leave. Blocks
+   repeated anchor go to the anchor's hash range, where the shards' windows meet. A row is
+   a window, at first known only by its anchor and where it stands. Then the rows of all shards
+   are refined column by column from the windows' ends: the symbols before the known part are
+   stably partitioned, so rows stay sorted by what is known, and a block whose symbols differ
+   splits. Rows alone in their block leave. Blocks
    that still hold two rows after ``length`` bytes are the repeated intervals. No suffix is
    sorted again, and nothing rests on a hash of what is removed.
 3. Removal. The repeated windows go back to the shards as byte spans of their documents.
@@ -39,7 +42,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from punctual.llm.common import text_column
 from punctual.llm.packed import (
-    ascending_in, ascending_out, by_range, chunks, hash_range, numbers_in, numbers_out, texts_in, texts_out,
+    ascending_in, ascending_out, by_range, chunks, hash_range, numbers_in, numbers_out, range_groups,
+    texts_in, texts_out,
 )
 from punctual.llm.words import MULTIPLIER, mixed
 
@@ -345,7 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     ranges = max(1, -(-size // RANGE_BYTES))
     texts = rows.mapInArrow(_texts, CHUNK)
     asked = rows.mapInArrow(_ask(length, anchor, ranges), ASK)
-    answers = asked.groupBy("range").applyInArrow(_answer, CHUNK)
+    answers = range_groups(asked, ranges).applyInArrow(_answer, CHUNK)
     sent = texts.unionByName(answers).groupBy("chunk").applyInArrow(_send(length, anchor, ranges, hot), STRINGS)
-    spans = sent.groupBy("range").applyInArrow(_merge_range(length), CHUNK)
+    spans = range_groups(sent, ranges).applyInArrow(_merge_range(length), CHUNK)
     return texts.unionByName(spans).groupBy("chunk").applyInArrow(_remove, KEPT)
