@@ -17,7 +17,7 @@ HEADLINE = [
     "worst_suppliers", "supplier_ranking", "dq_checks", "deduplicate",
     "build_features", "describe_features", "evaluation_report", "predict_batch", "predict_orders",
     "local_contributions", "what_if", "drift_mean_shift", "drift_ks",
-    "supplier_documents", "retrieve_topk", "answer_questions", "ingest_stream",
+    "supplier_documents", "retrieve_topk", "retrieve", "answer_questions", "ingest_stream",
     "model_training", "model_predict_batch",
 ]
 
@@ -44,7 +44,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({
-        "metric": "total time of the headline queries and of fitting the model once before",
+        "metric": "total time of the headline queries; model_fit fits the trees once before, model_training only measures them",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
