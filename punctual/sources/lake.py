@@ -7,7 +7,7 @@ import itertools
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from punctual.functions.running import with_sequence
 from punctual.session import stored
@@ -37,12 +37,21 @@ def _in_ranges(df: DataFrame, name: str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def write_bronze(df: DataFrame, path: str, name: str, buckets: int = BUCKETS) -> None:
-    """Write a Bronze table; one that may get rows again is dealt into buckets of its key."""
-    if name not in LIVE_KEYS:
+def write_bronze(
+    df: DataFrame, path: str, name: str, buckets: int = BUCKETS, seen: Observation | None = None
+) -> None:
+    """Write a Bronze table; one that may get rows again is dealt into buckets of its key. ``seen``
+    observes ``n_rows``, the rows written."""
+    dealt = name in LIVE_KEYS
+    if dealt:
+        df = _in_ranges(df.select("*", _bucket(LIVE_KEYS[name][0], buckets)), name)
+    if seen is not None:
+        # Behind the ranges: rows that are sampled for them are not counted.
+        df = df.observe(seen, F.count(F.lit(1)).alias("n_rows"))
+    if not dealt:
         df.write.mode("overwrite").parquet(path)
         return
-    _in_ranges(df.select("*", _bucket(LIVE_KEYS[name][0], buckets)), name).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    df.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
     put_text(df.sparkSession, f"{path}/_buckets", str(buckets))
 
 

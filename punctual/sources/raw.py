@@ -79,7 +79,7 @@ def load_bronze(
     try:
         for name, frame in found:
             seen = Observation(f"load_{name}")
-            lake.write_bronze(frame.observe(seen, F.count(F.lit(1)).alias("n_rows")), f"{beside}/{name}", name)
+            lake.write_bronze(frame, f"{beside}/{name}", name, seen=seen)
             manifest.append((name, seen.get["n_rows"], len(frame.columns), f"{root}/{name}"))
         lake.swap(spark, [(f"{beside}/{name}", f"{root}/{name}") for name, _ in found])
     finally:
