@@ -36,6 +36,8 @@ from punctual.llm.words import Words
 SAMPLE_ROWS = 20_000
 STEM_BYTES = range(4, 9)
 THRESHOLD = 0.3
+#: Text read at once: a task holds about thirty times as much in arrays.
+SLICE_BYTES = 1 << 20
 
 INSULT, TARGET, NEGATION, REPORT, MODAL, THREAT = range(6)
 # Function words of the four languages of the corpus: fixed lists.
@@ -249,7 +251,7 @@ def _read(grammar: Grammar, weigh: bool):
             reader.append(Reader(grammar))
         for texts in batches:
             batch = pa.RecordBatch.from_arrays([texts.cast(pa.string())], ["text"])
-            found = [reader[0].matches(part.column("text")) for part in slices([batch])]
+            found = [reader[0].matches(part.column("text")) for part in slices([batch], most_bytes=SLICE_BYTES)]
             counts = np.concatenate(found) if found else np.zeros((0, len(MATCHES)), np.int64)
             if weigh:
                 yield pa.array(1 / (1 + np.exp(-(strength(counts) @ np.array(grammar.weights) + grammar.base))))
