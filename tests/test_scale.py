@@ -155,3 +155,24 @@ def test_a_chain_of_small_tables_is_broadcast(spark):
     joined = joins.lookup_chain(skewed(spark), [(lookup(spark), "k", "left"), (lookup(spark).withColumnRenamed("v", "w"), "k", "inner")])
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and set(joined.columns) == {"id", "k", "v", "w"}
+
+
+def test_hot_keys_come_from_a_sketch(spark, no_broadcast):
+    """Keys are not shuffled to be counted; a table without hot keys is joined as it is."""
+    assert dict(joins._hot_keys(skewed(spark, 30000), ["k"])["k"]) == {"hot": 11}
+    assert set(dict(joins._hot_keys(skewed(spark, 30000).withColumn("k", F.when(F.col("id") % 2 == 0, F.col("k"))), ["k"])["k"])) == {None}
+    even = spark.range(5000).select(F.concat(F.lit("k"), F.col("id") % 500).alias("k"), "id", F.lit("wide").alias("w"))
+    joined = joins.lookup_join(even, lookup(spark), "k")
+    assert "__piece" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 5000 and joined.filter("v is not null").count() == 1500
+
+
+def test_a_joined_table_is_not_joined_twice(spark, no_broadcast):
+    """Counting the keys of a join's result would run the join; hot keys are split as it runs."""
+    jobs = spark.sparkContext.statusTracker()
+    left = skewed(spark).join(lookup(spark).withColumnRenamed("v", "w"), "k", "left").withColumn("key", F.col("k"))
+    spark.sparkContext.setJobGroup("joined", "joined")
+    joined = joins.lookup_join(left, lookup(spark).withColumnRenamed("k", "key"), "key")
+    assert not jobs.getJobIdsForGroup("joined")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert joined.count() == 3000 and joined.filter("v is not null").count() == left.filter("w is not null").count()
