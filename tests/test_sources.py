@@ -1,7 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from punctual.operators import health
+from punctual.session import shared_root
 from punctual.sources import lake, raw, reports
 from rows import frame, order
 
@@ -229,3 +232,20 @@ def test_a_large_file_is_read_in_splits(spark, tmp_path):
         assert manifest.first()["n_rows"] == 20_000
     finally:
         spark.conf.set(size, before)
+
+
+def test_a_merge_shuffles_once_and_leaves_nothing(spark, tmp_path):
+    path, rows = str(tmp_path / "purchase_orders"), [order("A"), order("A"), order("B"), order(None), order("E", receipt_date=None)]
+    lake.write_bronze(frame(spark, "purchase_orders", *rows), path, "purchase_orders", 4)
+    before = set(os.listdir(shared_root(spark)))
+    live = frame(spark, "purchase_orders", order("B", ordered_qty=3.0), order("B", ordered_qty=4.0, receipt_date=None), order(None), order("E"))
+    lake.merge_rows(spark, str(tmp_path), "purchase_orders", live, "1")
+    # Ids that do not arrive again keep all their rows, as those without an id do.
+    found = lake.read_bronze(spark, str(tmp_path), "purchase_orders").collect()
+    assert sorted((r.po_id or "", r.ordered_qty, r.receipt_date) for r in found) == [
+        ("", 10.0, "2024-01-10"), ("", 10.0, "2024-01-10"), ("A", 10.0, "2024-01-10"), ("A", 10.0, "2024-01-10"),
+        ("B", 3.0, "2024-01-10"), ("E", 10.0, "2024-01-10")]
+    assert not {name for name in set(os.listdir(shared_root(spark))) - before if name.startswith("arrived")}
+    table = spark.read.parquet(path)
+    plan = lake.newest(table, table.filter("po_id = 'B'"), "purchase_orders")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
