@@ -41,6 +41,8 @@ NEAREST = 8
 BLOCK = 256
 #: Listed vectors that are dealt out together.
 DEALT = 2_000
+#: Similarities to pivots that a task holds at once.
+CELLS = 1 << 20
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -80,11 +82,13 @@ def _describe(pivots: dict[int, np.ndarray]):
                     for r in rows.tolist():
                         out[r] = [-size]
                     continue
-                own = _unit(flat[starts[rows][:, None] + np.arange(size)])
-                like = own @ pivots[size].T
-                near = np.argsort(-like, axis=1, kind="stable")[:, :NEAREST]
-                for r, p in zip(rows.tolist(), near.tolist()):
-                    out[r] = p
+                # Some rows at a time, so that memory does not grow with both rows and pivots.
+                step = max(1, CELLS // len(pivots[size]))
+                for part in (rows[at : at + step] for at in range(0, len(rows), step)):
+                    own = _unit(flat[starts[part][:, None] + np.arange(size)])
+                    near = np.argsort(-(own @ pivots[size].T), axis=1, kind="stable")[:, :NEAREST]
+                    for r, p in zip(part.tolist(), near.tolist()):
+                        out[r] = p
             yield pa.array(out, pa.list_(pa.int32()))
 
     return describe

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -692,3 +693,20 @@ def test_backoff(docs, none, monkeypatch, order, per_range):
     assert sorted(r[:2] for r in map(tuple, got) if r[0] is not None) == sorted(r[:2] for r in want if r[0] is not None)
     assert np.allclose(sorted(r[2] for r in got), sorted(r[2] for r in want))
     assert rows(backoff.score(none)) == []
+
+
+def test_pivots_of_a_batch_are_found_some_rows_at_a_time():
+    """Memory is bounded however many rows and pivots meet; the pivots found stay the nearest ones."""
+    import tracemalloc
+
+    pick = np.random.default_rng(3)
+    known, own = pivots._unit(pick.normal(size=(4096, 16))), pick.normal(size=(3000, 16))
+    batch = pa.array(list(own), pa.list_(pa.float64()))
+    tracemalloc.start()
+    found = next(pivots._describe({16: known})(iter([batch]))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All similarities alone are 98 MB.
+    assert peak < 60e6
+    for i in range(0, 3000, 500):
+        assert set(found[i]) == set(np.argsort(-(known @ own[i]))[:pivots.NEAREST].tolist())
